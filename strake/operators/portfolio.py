@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 
 from .metrics import YEAR, ranked, ratio
 
-OVER_TIME = W.orderBy("t")  # over series of one row a date
+
+def over_time():
+    """Window over a series of one row a date, which a single task may run over."""
+    return W.orderBy("t")
 
 
 def top_k_portfolio(df: DataFrame, score: str, ret: str, k: int, overlap: int = 1) -> DataFrame:
@@ -57,14 +60,14 @@ def equity_curve(day: DataFrame, value: str = "portfolio_return") -> DataFrame:
     """(t, value, equity, drawdown, drawdown_start): the drawdown from the highest equity so far, without and with the
     starting equity 1 as a peak. One row a date, so that one task may run over it."""
     ok = day.where(F.col(value).isNotNull()).select("t", value)
-    eq = ok.withColumn("equity", F.product(1 + F.col(value)).over(OVER_TIME.rowsBetween(W.unboundedPreceding, 0)))
-    peak = F.max("equity").over(OVER_TIME.rowsBetween(W.unboundedPreceding, 0))
+    eq = ok.withColumn("equity", F.product(1 + F.col(value)).over(over_time().rowsBetween(W.unboundedPreceding, 0)))
+    peak = F.max("equity").over(over_time().rowsBetween(W.unboundedPreceding, 0))
     return eq.withColumns({"drawdown": F.col("equity") / peak - 1, "drawdown_start": F.col("equity") / F.greatest(peak, F.lit(1.0)) - 1})
 
 
 def loss_streaks(day: DataFrame, value: str = "portfolio_return") -> DataFrame:
     """(first_t, last_t, days) of every run of losing dates."""
-    n = day.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(OVER_TIME), "_loss": F.col(value) < 0})
+    n = day.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(over_time()), "_loss": F.col(value) < 0})
     run = n.withColumn("_g", F.col("_i") - F.row_number().over(W.partitionBy("_loss").orderBy("t")))
     return run.where("_loss").groupBy("_g").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"), F.count(F.lit(1)).alias("days")).drop("_g")
 
@@ -86,7 +89,7 @@ def performance(day: DataFrame, value: str = "portfolio_return") -> DataFrame:
 def rolling_windows(day: DataFrame, length: int, value: str = "portfolio_return") -> DataFrame:
     """(start_t, compounded, positive_rate, max_drawdown) of every run of ``length`` dates, from its own start at 1."""
     ok = day.where(F.col(value).isNotNull())
-    w = OVER_TIME.rowsBetween(0, length - 1)
+    w = over_time().rowsBetween(0, length - 1)
     lists = ok.select("t", F.collect_list(value).over(w).alias("r")).where(F.size("r") == length)
     step = F.aggregate("r", F.struct(F.lit(1.0).alias("e"), F.lit(1.0).alias("p"), F.lit(0.0).alias("d")), lambda a, x: F.struct((a["e"] * (1 + x)).alias("e"), F.greatest(a["p"], a["e"] * (1 + x)).alias("p"), F.least(a["d"], a["e"] * (1 + x) / F.greatest(a["p"], a["e"] * (1 + x)) - 1).alias("d")))
     return lists.withColumn("s", step).select(F.col("t").alias("start_t"), (F.col("s.e") - 1).alias("compounded"), (F.size(F.filter("r", lambda x: x > 0)) / length).alias("positive_rate"), F.col("s.d").alias("max_drawdown"))
@@ -95,7 +98,7 @@ def rolling_windows(day: DataFrame, length: int, value: str = "portfolio_return"
 def turnover(df: DataFrame, score: str, k: int) -> DataFrame:
     """(t, turnover): share of the date's k picks that were not among those of the date before; NULL on the first."""
     sets = ranked(df, score).where(F.col("rank") <= k).groupBy("t").agg(F.collect_set("code").alias("s"))
-    return sets.select("t", (1 - F.size(F.array_intersect("s", F.lag("s").over(OVER_TIME))) / k).alias("turnover"))
+    return sets.select("t", (1 - F.size(F.array_intersect("s", F.lag("s").over(over_time()))) / k).alias("turnover"))
 
 
 def event_book(df: DataFrame, score: str, ret: str, fillable: str, signal_k: int, hold_k: int, least_score: float | None = None) -> DataFrame:
