@@ -136,4 +136,6 @@ def find_orphans(
     child = child.select(*[F.col(f"`{c}`") for c in refs.columns], "_k", "_t", F.lit(None).cast(shape).alias("_parents"), "_slot", F.lit(1).alias("_kind"))
     both = arrays.union(child)
     both = both.repartitionById(base, "_slot") if hasattr(both, "repartitionById") else both.repartition(base, "_slot")
-    return both.sortWithinPartitions("_slot", "_kind").mapInArrow(_probe(to_arrow_schema(refs.schema), len(refs.columns)), refs.schema)
+    # one integer to sort by, so that the sort is a radix sort
+    both = both.withColumn("_order", F.col("_slot") * 2 + F.col("_kind"))
+    return both.sortWithinPartitions("_order").mapInArrow(_probe(to_arrow_schema(refs.schema), len(refs.columns)), refs.schema)
