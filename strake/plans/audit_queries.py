@@ -55,13 +55,13 @@ def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.interval_one(e, _names(spark, sf_dir), key="code", at="trade_date", start="start_date", end="end_date", value="stock_name")
 
 
-@query(EVENT_SQL + """, s as (select upper(trim(ts_code)) as code, arg_max(list_date, (loaded_at, list_date)) as l, arg_max(coalesce(delist_date, '99999999'), (loaded_at, list_date)) as d from stock_basic group by 1),
+@query(EVENT_SQL + """, z as (select upper(trim(ts_code)) as code, max((loaded_at, coalesce(list_date, ''), coalesce(delist_date, '99999999'))) as m from stock_basic group by 1), s as (select code, nullif(m[2], '') as l, m[3] as d from z),
 x as (select s.code, min(cal.t) as t0, min(d) as d from s join cal on cal.trade_date >= s.l group by s.code)
 select e.trade_date, e.code, coalesce(e.t >= x.t0 + 20 and e.trade_date < x.d, false) as listed from e left join x using (code)""")
 def listing_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the code had been listed for twenty sessions and not delisted."""
-    last = F.struct("loaded_at", "list_date")
-    s = table(spark, sf_dir, "stock_basic").groupBy(norm_code("ts_code").alias("code")).agg(F.max_by("list_date", last).alias("_l"), F.max_by(F.coalesce("delist_date", F.lit("99999999")), last).alias("_d"))
+    last = F.max(F.struct("loaded_at", F.coalesce("list_date", F.lit("")).alias("l"), F.coalesce("delist_date", F.lit("99999999")).alias("d")))
+    s = table(spark, sf_dir, "stock_basic").groupBy(norm_code("ts_code").alias("code")).agg(last.alias("m")).select("code", F.nullif("m.l", F.lit("")).alias("_l"), F.col("m.d").alias("_d"))
     cal = calendar(spark, sf_dir)
     first = s.join(F.broadcast(cal), F.col("trade_date") >= F.col("_l")).groupBy("code", "_d").agg(F.min("t").alias("_t0"))
     e = event_table(spark, sf_dir).select("t", "trade_date", "code").join(first, "code", "left")
@@ -400,20 +400,20 @@ def quintile_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 # residuals
 
 
-@query(EVENT_SQL + ", c as (select t, code, feat_a as y, feat_b as x from e where feat_a is not null and feat_b is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual") + " from e left join v using (t, code) where e.t in (select t from s where n > 2)")
+@query(EVENT_SQL + ", c as (select t, code, feat_a as y, feat_b as x from e where feat_a is not null and feat_b is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual", 9) + " from e left join v using (t, code) where e.t in (select t from s where n > 2)")
 def style_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each date's least-squares residual of a feature on another, dates of three complete rows or more."""
     e = event_table(spark, sf_dir)
     n = F.count_if(F.col("feat_a").isNotNull() & F.col("feat_b").isNotNull()).over(o.across())
-    return rounded(a.residualize(e.withColumn("_n", n).where("_n > 2"), "feat_a", ["feat_b"]).select("t", "code", "residual"), ["t", "code"])
+    return rounded(a.residualize(e.withColumn("_n", n).where("_n > 2"), "feat_a", ["feat_b"]).select("t", "code", "residual"), ["t", "code"], 9)
 
 
-@query(EVENT_SQL + ", k as (select t, code, case when score is not null then row_number() over (partition by t order by score nulls last, code) / count(score) over (partition by t) end as y, case when feat_a is not null then row_number() over (partition by t order by feat_a nulls last, code) / count(feat_a) over (partition by t) end as x from e), c as (select * from k where x is not null and y is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual") + " from e left join v using (t, code) where e.t in (select t from s where n > 5)")
+@query(EVENT_SQL + ", k as (select t, code, case when score is not null then row_number() over (partition by t order by score nulls last, code) / count(score) over (partition by t) end as y, case when feat_a is not null then row_number() over (partition by t order by feat_a nulls last, code) / count(feat_a) over (partition by t) end as x from e), c as (select * from k where x is not null and y is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual", 9) + " from e left join v using (t, code) where e.t in (select t from s where n > 5)")
 def rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score's ranks cleaned of another feature's, dates of more than five complete rows."""
     e = event_table(spark, sf_dir)
     n = F.count_if(F.col("score").isNotNull() & F.col("feat_a").isNotNull()).over(o.across())
-    return rounded(a.rank_residual(e.withColumn("_n", n).where("_n > 5"), "score", ["feat_a"]).select("t", "code", "residual"), ["t", "code"])
+    return rounded(a.rank_residual(e.withColumn("_n", n).where("_n > 5"), "score", ["feat_a"]).select("t", "code", "residual"), ["t", "code"], 9)
 
 
 @query()

@@ -144,12 +144,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p3_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every code and calendar day: trailing turnover, momentum and volatility over 7 and 30 days."""
+    """Every code and calendar day: trailing turnover, logarithmic return and volatility over 7 and 30 days."""
     t = trailing_totals(_bars(spark, sf_dir), entity="ts_code", day="day", values=["turnover", "ret", "ret2"])
     cols = []
     for w in (7, 30):
         n, s, q = F.col(f"ret_count_{w}"), F.col(f"ret_sum_{w}"), F.col(f"ret2_sum_{w}")
-        cols += [F.round(f"turnover_sum_{w}", 4).alias(f"turnover_{w}d"), F.round(f"turnover_mean_{w}", 9).alias(f"turnover_mean_{w}d"), F.col(f"turnover_count_{w}").alias(f"bars_{w}d"), F.round(F.expm1(s), 10).alias(f"momentum_{w}d"), F.when(n > 1, F.round(F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))), 5)).alias(f"volatility_{w}d")]
+        cols += [F.round(f"turnover_sum_{w}", 4).alias(f"turnover_{w}d"), F.round(f"turnover_mean_{w}", 9).alias(f"turnover_mean_{w}d"), F.col(f"turnover_count_{w}").alias(f"bars_{w}d"), F.round(F.coalesce(s, F.lit(0.0)), 8).alias(f"log_return_{w}d"), F.when(n > 1, F.round(F.sqrt(F.greatest((q - s * s / n) / (n - 1), F.lit(0.0))), 5)).alias(f"volatility_{w}d")]
     return t.select("ts_code", day_text(F.col("day")).alias("trade_date"), *cols)
 
 
@@ -163,7 +163,7 @@ f as (select g.c, g.day, coalesce(x, 0.0) as x, x as x0, r, min(g.day) over (par
 ORACLE["p3_found"] = _P3 + """, w as (select c, day, first, round(sum(x) over (partition by c order by day rows 6 preceding), 4) as s7, round(sum(x) over (partition by c order by day rows 29 preceding), 4) as s30 from f)
 select c as ts_code, strftime(day, '%Y%m%d') as trade_date from w where day >= first + 29 and 2 * s7 > s30"""
 ORACLE["p3_trailing"] = _P3 + "select c as ts_code, strftime(day, '%Y%m%d') as trade_date, " + ", ".join(
-    f"round(sum(x) over w{w}, 4) as turnover_{w}d, round(avg(x0) over w{w}, 9) as turnover_mean_{w}d, count(x0) over w{w} as bars_{w}d, round(exp(coalesce(sum(r) over w{w}, 0)) - 1, 10) as momentum_{w}d, case when count(r) over w{w} > 1 then round(stddev_samp(r) over w{w}, 5) end as volatility_{w}d"
+    f"round(sum(x) over w{w}, 4) as turnover_{w}d, round(avg(x0) over w{w}, 9) as turnover_mean_{w}d, count(x0) over w{w} as bars_{w}d, round(coalesce(sum(r) over w{w}, 0), 8) as log_return_{w}d, case when count(r) over w{w} > 1 then round(stddev_samp(r) over w{w}, 5) end as volatility_{w}d"
     for w in (7, 30)
 ) + " from f window w7 as (partition by c order by day rows 6 preceding), w30 as (partition by c order by day rows 29 preceding)"
 

@@ -144,7 +144,7 @@ c as (select *, {pdiv('abs(ret1)', 'amt')} as illiq from b),
 """
 
 
-def _field_query(name: str, fields: dict[str, str], digits: int = 6) -> None:
+def _field_query(name: str, fields: dict[str, str], digits: int = 9) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = bar_panel(spark, sf_dir)
         f = base_fields(x.columns, F.rint(F.col("pre_close") * 110) / 100)
@@ -159,8 +159,8 @@ def _field_query(name: str, fields: dict[str, str], digits: int = 6) -> None:
 _field_query("base_fields_returns", {"ret1": "ret1", "ret5": pdiv("close_h", "lag(close_h, 5) over wt") + " - 1", "ret20": pdiv("close_h", "lag(close_h, 20) over wt") + " - 1", "gap": "gap", "intraday": pdiv("close_h", "open_h") + " - 1"})
 _field_query("base_fields_shape", {"hl_range": pdiv("high_h - low_h", "prev"), "close_pos": pdiv("close_h - low_h", "high_h - low_h"), "upper_shadow": pdiv("high_h - case when open_h is not null and close_h is not null then greatest(open_h, close_h) end", "prev"), "lower_shadow": pdiv("case when open_h is not null and close_h is not null then least(open_h, close_h) end - low_h", "prev")})
 _field_query("base_fields_trend", {f"ma_dev{d}": guard("close_h", d, pdiv("close_h", f"avg(close_h) over w{d}") + " - 1") for d in (5, 20, 60)} | {"rsv20": f"case when count(low_h) over w20 = 20 and count(high_h) over w20 = 20 then {pdiv('close_h - min(low_h) over w20', 'max(high_h) over w20 - min(low_h) over w20')} end"})
-_field_query("base_fields_risk", {"vola20": guard("ret1", 20, "stddev_samp(ret1) over w20"), "max_ret20": guard("ret1", 20, "max(ret1) over w20"), "open_gap_mean5": guard("gap", 5, "avg(gap) over w5"), "oc_corr20": guard("case when close_h is not null then open_h end", 20, "case when stddev_samp(open_h) over w20 > 1e-9 and stddev_samp(close_h) over w20 > 1e-9 then covar_samp(open_h, close_h) over w20 / (stddev_samp(open_h) over w20 * stddev_samp(close_h) over w20) end")}, 5)
-_field_query("base_fields_liquidity", {"log_amount": "la", "amount_z20": guard("la", 20, pdiv("la - avg(la) over w20", "stddev_samp(la) over w20")), "amihud20": guard("illiq", 20, "avg(illiq) over w20 * 1e6"), "turnover_z20": guard("turnover", 20, pdiv("turnover - avg(turnover) over w20", "stddev_samp(turnover) over w20")), "to_up_limit": pdiv("lim - close", "close"), "limitup_cnt20": guard("at_lim", 20, "sum(at_lim) over w20")}, 5)
+_field_query("base_fields_risk", {"vola20": guard("ret1", 20, "stddev_samp(ret1) over w20"), "max_ret20": guard("ret1", 20, "max(ret1) over w20"), "open_gap_mean5": guard("gap", 5, "avg(gap) over w5"), "oc_corr20": guard("case when close_h is not null then open_h end", 20, "case when stddev_samp(open_h) over w20 > 1e-9 and stddev_samp(close_h) over w20 > 1e-9 then covar_samp(open_h, close_h) over w20 / (stddev_samp(open_h) over w20 * stddev_samp(close_h) over w20) end")})
+_field_query("base_fields_liquidity", {"log_amount": "la", "amount_z20": guard("la", 20, pdiv("la - avg(la) over w20", "stddev_samp(la) over w20")), "amihud20": guard("illiq", 20, "avg(illiq) over w20 * 1e6"), "turnover_z20": guard("turnover", 20, pdiv("turnover - avg(turnover) over w20", "stddev_samp(turnover) over w20")), "to_up_limit": pdiv("lim - close", "close"), "limitup_cnt20": guard("at_lim", 20, "sum(at_lim) over w20")})
 
 
 # metrics on the event table
