@@ -7,6 +7,7 @@ Arrow batches by binary search. Only misses leave the probe; they may be aggrega
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ class ParentRange:
     """Sorted keys of one range and, for each, disjoint intervals in which a record of the key is alive."""
 
     def __init__(self, rows: list[dict]):
-        rows = sorted(rows, key=lambda r: (r["k"], -FOREVER if r["f"] is None else r["f"]))
+        rows = sorted(({"f": None} | r for r in rows), key=lambda r: (r["k"], -FOREVER if r["f"] is None else r["f"]))
         keys: list[str] = []
         owner: list[int] = []
         starts: list[int] = []
@@ -87,7 +88,7 @@ def _probe(schema: pa.Schema, n: int):
                     slot, parents = slots[lo], ParentRange([])
                 first = part.column("_parents")[0]
                 if first.is_valid:  # the range's arrays come before its references
-                    parents = ParentRange(first.as_py())
+                    parents = ParentRange(json.loads(first.as_py()))
                     part = part.slice(1)
                 miss = parents.misses(part.column("_k"), part.column("_t"))
                 if miss.any():
@@ -126,14 +127,14 @@ def find_orphans(
     count = F.element_at(F.create_map(*[F.lit(x) for i, (_, n) in shares.items() for x in (i, n)]), F.col("_range"))
     child = child.withColumn("_slot", (first + F.pmod(F.xxhash64(F.monotonically_increasing_id()), count)).cast("int"))
 
-    shape = "array<struct<k:string,f:bigint,t:bigint>>"
+    # the arrays travel as one text: Spark sizes an Arrow batch at every row, which is dear with a nested column
     arrays = (
         par.withColumn("_range", _bisect(F.col("k"), bounds)).where(F.col("_range").isin(list(shares)))
-        .groupBy("_range").agg(F.sort_array(F.collect_list(F.struct("k", "f", "t"))).alias("_parents"))
+        .groupBy("_range").agg(F.to_json(F.sort_array(F.collect_list(F.struct("k", "f", "t")))).alias("_parents"))
         .withColumn("_slot", F.explode(F.sequence(first, first + count - 1)))
-        .select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in refs.schema], F.lit(None).cast("string").alias("_k"), none.alias("_t"), F.col("_parents").cast(shape).alias("_parents"), F.col("_slot").cast("int").alias("_slot"), F.lit(0).alias("_kind"))
+        .select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in refs.schema], F.lit(None).cast("string").alias("_k"), none.alias("_t"), "_parents", F.col("_slot").cast("int").alias("_slot"), F.lit(0).alias("_kind"))
     )
-    child = child.select(*[F.col(f"`{c}`") for c in refs.columns], "_k", "_t", F.lit(None).cast(shape).alias("_parents"), "_slot", F.lit(1).alias("_kind"))
+    child = child.select(*[F.col(f"`{c}`") for c in refs.columns], "_k", "_t", F.lit(None).cast("string").alias("_parents"), "_slot", F.lit(1).alias("_kind"))
     both = arrays.union(child)
     both = both.repartitionById(base, "_slot") if hasattr(both, "repartitionById") else both.repartition(base, "_slot")
     return both.sortWithinPartitions("_slot", "_kind").mapInArrow(_probe(to_arrow_schema(refs.schema), len(refs.columns)), refs.schema)
