@@ -67,7 +67,7 @@ def _footer_pieces(numeric: dict, patterns: dict, load: str, distinct: bool):
                 if whole:
                     num = col in numeric
                     for ld, w in values:
-                        yield (uri, col, int(ld), *[0] * 4, 0.0, 0.0, None, None, 0, False, (w + 0.0 if num else None), (None if num else w))
+                        yield (uri, col, int(ld), *[0] * 4, 0.0, 0.0, None, None, 0, False, (w + 0.0 if num and w == w else None), (None if num and w == w else "NaN" if num else w))  # pandas would make NaN a NULL
                 else:
                     yield (uri, col, None, *[0] * 4, 0.0, 0.0, None, None, -1, True, None, None)
 
@@ -168,7 +168,7 @@ def profile(spark: SparkSession, path: str, *, load: str, numeric: dict[str, tup
     if distinct:
         values = seen.where("not scan and (value_num is not null or value_txt is not null)").select("column_name", "load_id", "value_num", "value_txt")
         for fs, cs in scans(again):
-            each = [F.struct(F.lit(c).alias("column_name"), (F.col(f"`{c}`").cast("double") + 0.0 if c in numeric else F.lit(None).cast("double")).alias("value_num"), (F.lit(None).cast("string") if c in numeric else F.col(f"`{c}`")).alias("value_txt")) for c in cs]
+            each = [F.struct(F.lit(c).alias("column_name"), (F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`").cast("double") + 0.0) if c in numeric else F.lit(None).cast("double")).alias("value_num"), (F.when(F.isnan(F.col(f"`{c}`")), "NaN") if c in numeric else F.col(f"`{c}`")).alias("value_txt")) for c in cs]
             values = values.unionByName(read(fs).select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*each))).where("value_num is not null or value_txt is not null").select("column_name", "load_id", "value_num", "value_txt"))
         counts = values.distinct().groupBy("column_name", "load_id").agg(F.count(F.lit(1)).alias("n_distinct"))
         per = per.alias("a").join(counts.alias("b"), F.expr("a.column_name = b.column_name and a.load_id <=> b.load_id"), "left").select("a.*", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
