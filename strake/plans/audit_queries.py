@@ -494,3 +494,14 @@ def factor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small evolutionary search for event factors; a row a survivor."""
     found = search(event_table(spark, sf_dir), ["score", "feat_a", "feat_b", "feat_c"], "ret", k=_K, population=10, generations=2, kind="event", seed=3)
     return spark.createDataFrame([(s.expression, float(s.fitness), s.size) for s in found] or [], "expression string, fitness double, size int")
+
+
+@query()
+def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walk-forward classifier of the outcome: mean daily gini of each fold's test dates; no SQL for an iterative fit."""
+    from ..operators.model import walk_forward_scores
+
+    e = event_table(spark, sf_dir)
+    folds = lb.walk_forward(calendar(spark, sf_dir).count(), 200, 20, 100, 2)
+    s = walk_forward_scores(e, ["score", "feat_a", "feat_b", "feat_c"], folds)
+    return rounded(m.daily_gini(s, "prediction_score", by=("fold",)).groupBy("fold").agg(F.avg("gini").alias("gini"), F.count("gini").alias("n_dates")), ["fold", "n_dates"])
