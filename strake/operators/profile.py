@@ -4,27 +4,45 @@ The files' footers are read first, in parallel. A chunk (column of a row group)
 statistics settle what is asked: exact null counts; a chunk of nulls only; a dictionary of one value, which gives all
 moments; a dictionary whose texts all match the pattern, or none. The remaining (file, column) pairs are scanned, only
 those columns of only those files. Distinct counts come from the dictionaries' values, and from scans where a chunk
-isn't wholly dictionary coded or mixes loads.
+isn't wholly dictionary coded or mixes loads. Extrema of texts and whole numbers come with the distinct values.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..common import finite
+from ..common import finite, micros
 
 PIECE = "file string, column_name string, load_id int, n_rows bigint, n_null bigint, n_finite bigint, n_in bigint, s1 double, s2 double, lo double, hi double, n_bad bigint, scan boolean, value_num double, value_txt string"
 SUMS = ["n_rows", "n_null", "n_finite", "n_in", "s1", "s2", "n_bad"]
 
 
-def _footer_pieces(numeric: dict, patterns: dict, load: str, distinct: bool):
+def _bounds(valid: tuple[float, float] | None) -> tuple[float, float, float]:
+    """Valid range and the value that sums are centred on."""
+    return (-math.inf, math.inf, 0.0) if valid is None else (*valid, (valid[0] + valid[1]) / 2)
+
+
+def _whole(df: DataFrame, c: str):
+    """A whole number for the value of a column that is neither double nor text."""
+    kind, x = df.schema[c].dataType, F.col(f"`{c}`")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return micros(x)
+    if isinstance(kind, T.DateType):
+        return F.unix_date(x).cast("bigint")
+    if isinstance(kind, (T.IntegralType, T.BooleanType)):
+        return x.cast("bigint")
+    raise TypeError(f"{c}: {kind.simpleString()} has no profile")
+
+
+def _footer_pieces(numeric: dict, patterns: dict, whole_cols: list, load: str, distinct: bool):
     from ..sources import parquet_pages as P
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -42,14 +60,14 @@ def _footer_pieces(numeric: dict, patterns: dict, load: str, distinct: bool):
         index = {meta.row_group(0).column(i).path_in_schema: i for i in range(meta.num_columns)}
         loads = [P.chunk_of(meta, g, index[load]) for g in range(meta.num_row_groups)]
         pure = [c.nulls == 0 and c.lo is not None and c.lo == c.hi for c in loads]
-        for col in (*numeric, *patterns):
+        for col in (*numeric, *patterns, *whole_cols):
             pieces, values, scan, whole = [], set(), not all(pure), all(pure)
             for g in range(meta.num_row_groups):
                 if not pure[g]:
                     continue
                 c = P.chunk_of(meta, g, index[col])
                 alone = c.lo is not None and c.lo == c.hi
-                words = P.dictionary_of(f, meta, g, index[col]) if distinct or col in patterns or alone else None
+                words = P.dictionary_of(f, meta, g, index[col]) if col not in whole_cols and (distinct or col in patterns or alone) else None
                 if distinct:
                     if words is None and c.nulls != c.values:
                         whole = False
@@ -81,14 +99,14 @@ def _footer_pieces(numeric: dict, patterns: dict, load: str, distinct: bool):
         if col in numeric:
             if words is None or len(words) != 1:
                 return None
-            v, (a, b) = words[0], numeric[col]
+            v, (a, b, mid) = words[0], _bounds(numeric[col])
             if not math.isfinite(v):
                 return (c.values, c.nulls, 0, 0, 0.0, 0.0, None, None, 0)
-            inside, x = a <= v <= b, v - (a + b) / 2
+            inside, x = a <= v <= b, v - mid
             return (c.values, c.nulls, some, some * inside, some * x * inside, some * x * x * inside, v, v, 0)
         if words is None:
             return None
-        ok = {re.fullmatch(patterns[col], w) is not None for w in words}
+        ok = {patterns[col] is None or re.fullmatch(patterns[col], w) is not None for w in words}
         return None if len(ok) != 1 else (c.values, c.nulls, some, some, 0.0, 0.0, None, None, 0 if ok == {True} else some)
 
     return run
@@ -101,11 +119,11 @@ def _scan(df: DataFrame, cols: list[str], numeric: dict, patterns: dict, load: s
         x = F.col(f"`{c}`")
         aggs.append(F.count(x).alias(f"{c}_some"))
         if c in numeric:
-            a, b = numeric[c]
+            a, b, mid = _bounds(numeric[c])
             v = finite(x)
-            inside = F.when(v.between(a, b), v - (a + b) / 2)
+            inside = F.when(v.between(a, b), v - mid)
             aggs += [F.count(v).alias(f"{c}_finite"), F.count(inside).alias(f"{c}_in"), F.sum(inside).alias(f"{c}_s1"), F.sum(inside * inside).alias(f"{c}_s2"), F.min(v).alias(f"{c}_lo"), F.max(v).alias(f"{c}_hi")]
-        else:
+        elif patterns.get(c) is not None:
             aggs.append(F.count_if(~x.rlike(rf"\A(?:{patterns[c]})\z")).alias(f"{c}_bad"))
     wide = df.groupBy(F.col(load).cast("int").alias("load_id")).agg(*aggs)
     zero, none = F.lit(0).cast("bigint"), F.lit(None).cast("double")
@@ -113,27 +131,29 @@ def _scan(df: DataFrame, cols: list[str], numeric: dict, patterns: dict, load: s
     for c in cols:
         n = c in numeric
         some = F.col(f"{c}_some")
-        rows.append(F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), (F.col("n_rows") - some).alias("n_null"), (F.col(f"{c}_finite") if n else some).alias("n_finite"), (F.col(f"{c}_in") if n else some).alias("n_in"), F.coalesce(F.col(f"{c}_s1"), F.lit(0.0)).alias("s1") if n else F.lit(0.0).alias("s1"), F.coalesce(F.col(f"{c}_s2"), F.lit(0.0)).alias("s2") if n else F.lit(0.0).alias("s2"), (F.col(f"{c}_lo") if n else none).alias("lo"), (F.col(f"{c}_hi") if n else none).alias("hi"), (zero if n else F.col(f"{c}_bad")).alias("n_bad")))
+        rows.append(F.struct(F.lit(c).alias("column_name"), F.col("n_rows"), (F.col("n_rows") - some).alias("n_null"), (F.col(f"{c}_finite") if n else some).alias("n_finite"), (F.col(f"{c}_in") if n else some).alias("n_in"), F.coalesce(F.col(f"{c}_s1"), F.lit(0.0)).alias("s1") if n else F.lit(0.0).alias("s1"), F.coalesce(F.col(f"{c}_s2"), F.lit(0.0)).alias("s2") if n else F.lit(0.0).alias("s2"), (F.col(f"{c}_lo") if n else none).alias("lo"), (F.col(f"{c}_hi") if n else none).alias("hi"), (F.col(f"{c}_bad") if patterns.get(c) is not None else zero).alias("n_bad")))
     return wide.select("load_id", F.inline(F.array(*rows)))
 
 
-def profile(spark: SparkSession, path: str, *, load: str, numeric: dict[str, tuple[float, float]], patterns: dict[str, str], distinct: bool = True) -> DataFrame:
+def profile(spark: SparkSession, path: str, *, load: str, numeric: dict[str, tuple[float, float] | None], patterns: dict[str, str | None], whole: Sequence[str] = (), distinct: bool = True) -> DataFrame:
     """(column_name, load_id, n_rows, n_null, n_finite, coverage, n_in, mean, std, lo, hi, n_bad, bad_share, n_distinct,
-    prev_in, prev_mean, prev_std), a row a column and load.
+    prev_in, prev_mean, prev_std, lo_txt, hi_txt, prev_coverage, prev_bad_share, prev_distinct), a row a column and load.
 
-    numeric: valid range by column; n_finite counts values not NULL, NaN or infinite, lo and hi are their extrema, mean and
-    (population) std those of the n_in values inside the range. patterns: regular expression for the whole text by column;
-    n_finite counts non-NULL texts, n_bad those that don't match. prev_ are the figures of the load before in order.
+    numeric: valid range by column, None for any value; n_finite counts values not NULL, NaN or infinite, lo and hi are their extrema, mean and
+    (population) std those of the n_in values inside the range. patterns: regular expression for the whole text by column,
+    None without a rule (bad_share is NULL then); n_finite counts non-NULL texts, n_bad those that don't match. whole: columns
+    of integers, booleans, dates (as days) and timestamps (as microseconds), both from 1970; n_finite counts non-NULL values.
+    lo_txt and hi_txt are the extrema of texts and of whole, NULL unless distinct is asked for. prev_ are the figures of the load before in order.
     n_distinct counts non-NULL values (NaN one value, -0.0 equal to 0.0), NULL unless asked for. Rows without a load form
     a load NULL, which has no load before and is before none. An empty table gives no rows.
     """
     df = spark.read.parquet(path)
     files = df.inputFiles()
-    cols = [*numeric, *patterns]
+    cols, ints = [*numeric, *patterns, *whole], {c: _whole(df, c) for c in whole}
     if not files:
         raise FileNotFoundError(path)
     parts = max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))
-    seen = spark.createDataFrame([(f,) for f in files], "file string").repartition(parts).mapInPandas(_footer_pieces(numeric, patterns, load, distinct), PIECE)
+    seen = spark.createDataFrame([(f,) for f in files], "file string").repartition(parts).mapInPandas(_footer_pieces(numeric, patterns, list(whole), load, distinct), PIECE)
     seen = seen.persist()
     needs: dict[str, set] = {f: set() for f in files}
     again: dict[str, set] = {f: set() for f in files}
@@ -154,24 +174,33 @@ def profile(spark: SparkSession, path: str, *, load: str, numeric: dict[str, tup
     for fs, cs in scans(needs):
         pieces = pieces.unionByName(_scan(read(fs), cs, numeric, patterns, load).select(names))
     per = pieces.groupBy("column_name", "load_id").agg(*[F.sum(c).alias(c) for c in SUMS], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    mid = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, (a, b) in numeric.items() for x in (c, (a + b) / 2)]), F.col("column_name")), F.lit(0.0)) if numeric else F.lit(0.0)
+    mid = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for c, r in numeric.items() for x in (c, _bounds(r)[2])]), F.col("column_name")), F.lit(0.0)) if numeric else F.lit(0.0)
     m = F.when(F.col("n_in") > 0, F.col("s1") / F.col("n_in"))
     is_num = F.col("column_name").isin(list(numeric))
     per = per.withColumns({
         "coverage": F.col("n_finite") / F.col("n_rows"),
         "mean": F.when(is_num, m + mid),
         "std": F.when(is_num & (F.col("n_in") > 0), F.sqrt(F.greatest(F.col("s2") / F.col("n_in") - m * m, F.lit(0.0)))),
-        "bad_share": F.when(~is_num & (F.col("n_finite") > 0), F.col("n_bad") / F.col("n_finite")),
+        "bad_share": F.when(F.col("column_name").isin([c for c, p in patterns.items() if p is not None]) & (F.col("n_finite") > 0), F.col("n_bad") / F.col("n_finite")),
     })
-    w = W.partitionBy("column_name", F.col("load_id").isNull()).orderBy("load_id")
-    per = per.withColumns({f"prev_{a}": F.lag(c).over(w) for a, c in (("in", "n_in"), ("mean", "mean"), ("std", "std"))})
     if distinct:
-        values = seen.where("not scan and (value_num is not null or value_txt is not null)").select("column_name", "load_id", "value_num", "value_txt")
+        fields = ["column_name", "load_id", "value_num", "value_int", "value_txt"]
+        values = seen.where("not scan and (value_num is not null or value_txt is not null)").withColumn("value_int", F.lit(None).cast("bigint")).select(fields)
         for fs, cs in scans(again):
-            each = [F.struct(F.lit(c).alias("column_name"), (F.when(~F.isnan(F.col(f"`{c}`")), F.col(f"`{c}`").cast("double") + 0.0) if c in numeric else F.lit(None).cast("double")).alias("value_num"), (F.when(F.isnan(F.col(f"`{c}`")), "NaN") if c in numeric else F.col(f"`{c}`")).alias("value_txt")) for c in cs]
-            values = values.unionByName(read(fs).select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*each))).where("value_num is not null or value_txt is not null").select("column_name", "load_id", "value_num", "value_txt"))
-        counts = values.distinct().groupBy("column_name", "load_id").agg(F.count(F.lit(1)).alias("n_distinct"))
-        per = per.alias("a").join(counts.alias("b"), F.expr("a.column_name = b.column_name and a.load_id <=> b.load_id"), "left").select("a.*", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
+            each = []
+            for c in cs:
+                x, no = F.col(f"`{c}`"), {k: F.lit(None).cast(k) for k in ("double", "bigint", "string")}
+                num = F.when(~F.isnan(x), x.cast("double") + 0.0) if c in numeric else no["double"]
+                txt = F.when(F.isnan(x), "NaN") if c in numeric else x if c in patterns else no["string"]
+                each.append(F.struct(F.lit(c).alias("column_name"), num.alias("value_num"), ints.get(c, no["bigint"]).alias("value_int"), txt.alias("value_txt")))
+            values = values.unionByName(read(fs).select(F.col(load).cast("int").alias("load_id"), F.inline(F.array(*each))).where("value_num is not null or value_int is not null or value_txt is not null").select(fields))
+        ends = [f(c).alias(f"{n}_{c}") for n, f in (("lo", F.min), ("hi", F.max)) for c in ("value_int", "value_txt")]
+        counts = values.distinct().groupBy("column_name", "load_id").agg(F.count(F.lit(1)).alias("n_distinct"), *ends)
+        end = lambda n: F.when(~F.col("a.column_name").isin(list(numeric)), F.coalesce(f"{n}_value_txt", F.col(f"{n}_value_int").cast("string"))).alias(f"{n}_txt")
+        per = per.alias("a").join(counts.alias("b"), F.expr("a.column_name = b.column_name and a.load_id <=> b.load_id"), "left").select("a.*", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"), end("lo"), end("hi"))
     else:
-        per = per.withColumn("n_distinct", F.lit(None).cast("bigint"))
-    return per.select("column_name", "load_id", "n_rows", "n_null", "n_finite", "coverage", "n_in", "mean", "std", "lo", "hi", "n_bad", "bad_share", "n_distinct", "prev_in", "prev_mean", "prev_std")
+        per = per.withColumns({"n_distinct": F.lit(None).cast("bigint"), "lo_txt": F.lit(None).cast("string"), "hi_txt": F.lit(None).cast("string")})
+    w = W.partitionBy("column_name", F.col("load_id").isNull()).orderBy("load_id")
+    before = {"in": "n_in", "mean": "mean", "std": "std", "coverage": "coverage", "bad_share": "bad_share", "distinct": "n_distinct"}
+    per = per.withColumns({f"prev_{a}": F.lag(c).over(w) for a, c in before.items()})
+    return per.select("column_name", "load_id", "n_rows", "n_null", "n_finite", "coverage", "n_in", "mean", "std", "lo", "hi", "n_bad", "bad_share", "n_distinct", "prev_in", "prev_mean", "prev_std", "lo_txt", "hi_txt", "prev_coverage", "prev_bad_share", "prev_distinct")

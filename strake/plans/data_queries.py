@@ -232,11 +232,30 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coverage, distinct values, range and malformed share of every column and load."""
+    """Coverage, distinct values, range and malformed share of the ten columns that have a rule; p5_columns has them all."""
     r = lambda c: F.round(c, 6).alias(c)
     return _profile(spark, sf_dir, True).select("column_name", "load_id", "n_rows", "n_null", "n_finite", r("coverage"), r("mean"), F.round("std", 5).alias("std"), (F.col("lo") + 0.0).alias("lo"), (F.col("hi") + 0.0).alias("hi"), r("bad_share"), "n_distinct")
 
 
+#: Texts of event_rows beside those of p5_found's rules; None: no spelling is laid down.
+_TEXTS = _PATTERNS | {"trade_date": "[0-9]{8}|[0-9]{4}-[0-9]{2}-[0-9]{2}", "stock_code": None, "strategy_name": None}
+
+
+@query
+def p5_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every column of event_rows and load: coverage, distinct values, range, malformed share and their change from the load before."""
+    kinds = dict(table(spark, sf_dir, "event_rows").dtypes)
+    numeric = {c: _NUMERIC.get(c) for c, k in kinds.items() if k in ("double", "float")}
+    texts = {c: _TEXTS.get(c) for c, k in kinds.items() if k == "string"}
+    p = profile(spark, f"{sf_dir}/event_rows.parquet", load="load_id", numeric=numeric, patterns=texts, whole=[c for c in kinds if c not in numeric and c not in texts])
+    r = lambda c, n=6: F.round(c, n).alias(c)
+    change = lambda c, b: F.round(F.col(c) - F.col(f"prev_{b}"), 6).alias(f"{b}_change")
+    return p.select(
+        "column_name", "load_id", "n_rows", "n_null", "n_finite", "n_in", r("coverage"), r("mean"), r("std", 5), (F.col("lo") + 0.0).alias("lo"), (F.col("hi") + 0.0).alias("hi"), "lo_txt", "hi_txt", r("bad_share"), "n_distinct",
+        change("coverage", "coverage"), change("mean", "mean"), change("bad_share", "bad_share"), (F.col("n_distinct") - F.col("prev_distinct")).alias("distinct_change"),
+    )
+
+
 def _profile_sql(tail: str) -> str:
     parts = []
     for c, (a, b) in _NUMERIC.items():
@@ -258,6 +277,26 @@ ORACLE["p5_profile"] = _profile_sql("""select column_name, load_id, n as n_rows,
 case when num then lo + 0.0 end as lo, case when num then hi + 0.0 end as hi, round(case when not num and nv > 0 then nb / nv end, 6) as bad_share, nd as n_distinct from p""")
 
 
+def _columns_sql() -> str:
+    numeric, parts = _NUMERIC | {"label_d2_return": ("-inf", "inf")}, []
+    none = "cast(null as double)"
+    for c, (a, b) in numeric.items():
+        v = f"case when isfinite({c}) then {c} end"
+        parts.append(f"select '{c}' as column_name, load_id, 'num' as kind, {c} is not null as filled, {v} as v, case when isfinite({c}) and {c} between '{a}'::double and '{b}'::double then {c} end as i, case when {c} = 0 then 0.0 else {c} end as num, cast(null as bigint) as whole, cast(null as varchar) as txt, cast(null as boolean) as bad from event_rows")
+    for c, p in _TEXTS.items():
+        parts.append(f"select '{c}', load_id, 'txt', {c} is not null, case when {c} is not null then 0.0 end, case when {c} is not null then 0.0 end, {none}, null, {c}, " + ("null" if p is None else f"not regexp_full_match({c}, '{p}')") + " from event_rows")
+    for c, x in {"event_id": "event_id", "load_id": "load_id", "event_time": "epoch_us(event_time)", "loaded_at": "epoch_us(loaded_at)"}.items():
+        parts.append(f"select '{c}', load_id, 'whole', {c} is not null, case when {c} is not null then 0.0 end, case when {c} is not null then 0.0 end, {none}, {x}, null, null from event_rows")
+    return "with u as (" + " union all ".join(parts) + """), g as (select column_name, load_id, kind, count(*) as n, count(*) filter (where not filled) as nn, count(v) as nv, count(i) as ni, case when kind = 'num' then avg(i) end as m, case when kind = 'num' then stddev_pop(i) end as s,
+    case when kind = 'num' then min(v) + 0.0 end as lo, case when kind = 'num' then max(v) + 0.0 end as hi, coalesce(min(txt), cast(min(whole) as varchar)) as lt, coalesce(max(txt), cast(max(whole) as varchar)) as ht,
+    count(*) filter (where bad) / nullif(count(bad), 0) as bs, count(distinct num) + count(distinct whole) + count(distinct txt) as nd from u group by 1, 2, 3)
+    select column_name, load_id, n as n_rows, nn as n_null, nv as n_finite, ni as n_in, round(nv / n, 6) as coverage, round(m, 6) as mean, round(s, 5) as std, lo, hi, lt as lo_txt, ht as hi_txt, round(bs, 6) as bad_share, nd as n_distinct,
+    round(nv / n - lag(nv / n) over w, 6) as coverage_change, round(m - lag(m) over w, 6) as mean_change, round(bs - lag(bs) over w, 6) as bad_share_change, nd - lag(nd) over w as distinct_change from g window w as (partition by column_name order by load_id)"""
+
+
+ORACLE["p5_columns"] = _columns_sql()
+
+
 # 6. top N items within every group
 
 

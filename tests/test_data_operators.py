@@ -191,6 +191,21 @@ def test_profile_against_brute_force(spark, tmp_path, dictionary):
             assert r["mean"] is None
 
 
+def test_profile_of_columns_without_a_rule(spark, tmp_path):
+    rows = [(1, 10, "b", 1.0, 5), (1, 9, "a", float("inf"), None), (2, 2**60 + 1, None, 7e9, 7), (2, 2**60, "", -2.0, 7)]
+    df = spark.createDataFrame(rows, "load int, id long, s string, x double, us long")
+    df.select("load", "id", "s", "x", F.timestamp_micros("us").cast("timestamp_ntz").alias("at")).coalesce(1).write.parquet(str(tmp_path / "t.parquet"))
+    args = {"load": "load", "numeric": {"x": None}, "patterns": {"s": None}}
+    got = {(r.column_name, r.load_id): r for r in profile(spark, str(tmp_path / "t.parquet"), whole=["id", "at", "load"], **args).collect()}
+    assert {k: (r.n_finite, r.lo, r.hi, r.lo_txt, r.hi_txt, r.n_distinct, r.bad_share) for k, r in got.items()} == {
+        ("id", 1): (2, None, None, "9", "10", 2, None), ("id", 2): (2, None, None, str(2**60), str(2**60 + 1), 2, None), ("at", 1): (1, None, None, "5", "5", 1, None), ("at", 2): (2, None, None, "7", "7", 1, None), ("load", 1): (2, None, None, "1", "1", 1, None),
+        ("load", 2): (2, None, None, "2", "2", 1, None), ("s", 1): (2, None, None, "a", "b", 2, None), ("s", 2): (1, None, None, "", "", 1, None), ("x", 1): (1, 1.0, 1.0, None, None, 2, None), ("x", 2): (2, -2.0, 7e9, None, None, 2, None),
+    }
+    assert (got["s", 2].prev_coverage, got["s", 2].coverage, got["s", 2].prev_distinct, got["s", 1].prev_distinct) == (1.0, 0.5, 2, None)
+    with pytest.raises(TypeError):
+        profile(spark, str(tmp_path / "t.parquet"), whole=["x"], **args)
+
+
 # 6. top N
 
 
