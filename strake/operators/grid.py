@@ -1,10 +1,13 @@
 """Irregular readings onto a regular grid of sessions.
 
-Readings are first reduced to the last usable one of each source and session, which bounds a source by the calendar.
-A Kalman filter with a continuous-time local linear trend (level and slope of the logarithm, white-noise driven) then
-runs over each source's readings at their own times, sources side by side as vectors, and a backward pass smooths it.
-It is evaluated at every session's close: level, its standard deviation, whether the session lacked a reading, and the
-reading last assimilated, which fills the session.
+A Kalman filter with a continuous-time local linear trend (level and slope of the logarithm, white-noise driven) runs over
+all usable readings at their own times. The readings of one source and session are first put together into one element: how
+the state at the first of them leads to the state at the session's close, and what they say of the former. Elements combine
+exactly, as in a parallel scan, so a source is bounded by the calendar without leaving out a reading. All variances of the
+model are multiples of the source's q, so elements are made for q = 1 and scaled when q is known from all the pairs of
+neighbouring readings. A pass forward and one backward over a source's sessions, sources side by side, give at every close
+the smoothed level and its standard deviation, beside whether the session lacked a reading and the reading last assimilated,
+which fills it.
 """
 
 from __future__ import annotations
@@ -79,6 +82,81 @@ def smooth(times: np.ndarray, y: np.ndarray, var: np.ndarray, q: np.ndarray, q_s
     return m[:, 0], np.maximum(p[:, 0], 0), last
 
 
+#: Variances of a reading and, a day, of the level's and the slope's noise, as multiples of q.
+VAR, LEVEL, SLOPE = 0.05, 0.9, 1e-4
+CELL = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_session", T.IntegerType()), T.StructField("_cell", T.StructType([
+    T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("y_first", T.DoubleType()), T.StructField("y_last", T.DoubleType()), T.StructField("rate", T.DoubleType()),
+    T.StructField("pairs", T.LongType()), T.StructField("id", T.LongType()), T.StructField("value", T.DoubleType()), T.StructField("element", T.ArrayType(T.DoubleType())),
+]))])
+
+
+def _step(dt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Transition (n, 2, 2) over dt days and its noise for q = 1."""
+    one = np.ones_like(dt)
+    return np.stack([one, dt, 0 * dt, one], -1).reshape(-1, 2, 2), np.stack([LEVEL * dt + SLOPE * dt**3 / 3, SLOPE * dt**2 / 2, SLOPE * dt**2 / 2, SLOPE * dt], -1).reshape(-1, 2, 2)
+
+
+def _rate(d: np.ndarray, dt: np.ndarray) -> np.ndarray:
+    """q by one pair of neighbouring readings: the square of their difference over what is expected of it at q = 1."""
+    return d * d / (LEVEL * dt + 2 * VAR)
+
+
+def _dot(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (a @ v[..., None])[..., 0]
+
+
+def _inv(a: np.ndarray) -> np.ndarray:
+    det = a[..., 0, 0] * a[..., 1, 1] - a[..., 0, 1] * a[..., 1, 0]
+    return np.stack([a[..., 1, 1], -a[..., 0, 1], -a[..., 1, 0], a[..., 0, 0]], -1).reshape(a.shape) / det[..., None, None]
+
+
+def _cells(schema: pa.Schema, closes: np.ndarray):
+    """(source, session, readings in order) to one element a row: A (4), b (2), C (4), eta (2), J (4).
+
+    Given the state x at the first reading's time, the state at the close is N(A x + b, C), and the readings' likelihood in
+    x is proportional to exp(eta x - x J x / 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            off = batch.column("_reads").offsets.to_numpy()
+            at, rid, value = (batch.column("_reads").flatten().field(k).to_numpy(zero_copy_only=False) for k in range(3))
+            start, size = off[:-1] - off[0], np.diff(off)
+            order = np.argsort(-size, kind="stable")  # those with a k-th reading come first
+            start, size = start[order], size[order]
+            y, t = np.log(value), at / DAY
+            a, b, c, eta, j = np.tile(np.eye(2), (n, 1, 1)), np.zeros((n, 2)), np.zeros((n, 2, 2)), np.zeros((n, 2)), np.zeros((n, 2, 2))
+            rate = np.zeros(n)
+            for k in range(size[0]):
+                m = np.searchsorted(-size, -k, side="left")  # cells of more than k readings
+                now = start[:m] + k
+                if k:
+                    dt = (at[now] - at[now - 1]) / DAY
+                    f, q = _step(dt)
+                    a[:m], b[:m], c[:m] = f @ a[:m], _dot(f, b[:m]), f @ c[:m] @ f.swapaxes(1, 2) + q
+                    rate[:m] += _rate(y[now] - y[now - 1], dt)
+                h, s, r = a[:m, 0].copy(), c[:m, 0, 0] + VAR, y[now] - b[:m, 0]
+                g = c[:m, :, 0] / s[:, None]
+                eta[:m] += h * (r / s)[:, None]
+                j[:m] += h[:, :, None] * h[:, None, :] / s[:, None, None]
+                a[:m] -= g[:, :, None] * h[:, None, :]
+                b[:m] += g * r[:, None]
+                c[:m] -= g[:, :, None] * c[:m, :1, :]
+            end = start + size - 1
+            session = batch.column("_session").to_numpy()[order]
+            f, q = _step((closes[session] - at[end]) / DAY)
+            a, b, c = f @ a, _dot(f, b), f @ c @ f.swapaxes(1, 2) + q
+            flat = np.hstack([a.reshape(n, 4), b, c.reshape(n, 4), eta, j.reshape(n, 4)])
+            element = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.array(flat.ravel()))
+            parts = [at[start], at[end], y[start], y[end], rate, size.astype(np.int64) - 1, rid[end], value[end]]
+            cell = pa.StructArray.from_arrays([*[pa.array(x) for x in parts], element.cast(schema.field("_cell").type.field("element").type)], fields=list(schema.field("_cell").type))
+            yield pa.RecordBatch.from_arrays([batch.column("_source").take(pa.array(order)), pa.array(session), cell], schema=schema)
+
+    return run
+
+
 def _evaluate(schema: pa.Schema, closes: np.ndarray, cells: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, cells // max(1, len(closes)))
@@ -87,37 +165,70 @@ def _evaluate(schema: pa.Schema, closes: np.ndarray, cells: int = 400_000):
                 yield from _one(whole.slice(k, step))
 
     def _one(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        reads = batch.column("_reads")
-        off = reads.offsets.to_numpy()
+        lists = batch.column("_cells")
+        off = lists.offsets.to_numpy()
         off = off - off[0]
-        flat = reads.flatten()
-        session, at, value, rid = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         n = batch.num_rows
         who = np.repeat(np.arange(n), np.diff(off))
-        first, last = np.minimum.reduceat(session, off[:-1]), np.maximum.reduceat(session, off[:-1])
-        lo, hi = first.min(), last.max()
-        width = hi - lo + 1
-        grid = closes[lo : hi + 1] / DAY
-        times, y = np.repeat(grid, 2)[:, None].repeat(n, 1), np.full((2 * width, n), np.nan)
-        times[0::2] = np.concatenate((grid[:1] - 1, grid[:-1]))[:, None]
-        row = 2 * (session - lo)
-        log = np.log(value)
-        times[row, who] = at / DAY
-        y[row, who] = log
-        ids, raw = np.full((width, n), -1, dtype=np.int64), np.full((width, n), np.nan)
-        ids[session - lo, who], raw[session - lo, who] = rid, value
-        q = np.full(n, 1e-4)
+        flat = lists.flatten()
+        session, inner = flat.field(0).to_numpy(), flat.field(1)
         order = np.lexsort((session, who))
-        d, dt, same = np.diff(log[order]), np.diff(at[order]) / DAY, np.diff(who[order]) == 0
-        hits = np.bincount(who[order][1:][same], minlength=n)
-        rate = np.bincount(who[order][1:][same], weights=(d**2 / np.maximum(dt, 1e-3))[same], minlength=n)
-        q = np.maximum(np.where(hits > 0, rate / np.maximum(hits, 1), q), 1e-10)
-        level, var, k_last = smooth(times, y, 0.05 * q, 0.9 * q, 1e-4 * q)
-        s, w = np.nonzero((np.arange(width)[:, None] >= first - lo) & (np.arange(width)[:, None] <= last - lo))
-        fill = k_last[2 * s + 1, w] // 2
+        session, who = session[order], who[order]
+        first_at, last_at, y_first, y_last, rate, pairs, rid, value = (inner.field(k).to_numpy(zero_copy_only=False)[order] for k in range(8))
+        e = inner.field(8).flatten().to_numpy().reshape(-1, 16)[order]
+        first, last = session[off[:-1]], session[off[1:] - 1]
+        lo = first.min()
+        width = last.max() - lo + 1
+        grid = closes[lo : lo + width]
+        next_to = who[1:] == who[:-1]
+        between = _rate(y_first[1:] - y_last[:-1], (first_at[1:] - last_at[:-1]) / DAY)
+        total = np.bincount(who, weights=rate, minlength=n) + np.bincount(who[1:][next_to], weights=between[next_to], minlength=n)
+        hits = np.bincount(who, weights=pairs, minlength=n) + np.bincount(who[1:][next_to], minlength=n)
+        q = np.maximum(np.where(hits > 0, total / np.maximum(hits, 1), 1e-4), 1e-10)
+        cell = np.full((width, n), -1)
+        cell[session - lo, who] = np.arange(len(who))
+        has = cell >= 0
+        eye, scale = np.eye(2), q[who][:, None]
+        a, b, c, eta, j = e[:, :4].reshape(-1, 2, 2), e[:, 4:6], (e[:, 6:10] * scale).reshape(-1, 2, 2), e[:, 10:12] / scale, (e[:, 12:] / scale).reshape(-1, 2, 2)
+        mean, cov = np.zeros((width, n, 2)), np.zeros((width, n, 2, 2))
+        m, p = np.zeros((n, 2)), np.zeros((n, 2, 2))
+        fill, source_last = np.full((width, n), -1), np.full(n, -1)
+        alive = lambda s: (s + lo >= first) & (s + lo <= last)
+
+        def leap(s: int) -> np.ndarray:
+            """Days from the close before to the session's first reading, or its close."""
+            return np.where(has[s], first_at[cell[s]] - grid[s - 1], grid[s] - grid[s - 1]) / DAY if s else np.zeros(n)
+
+        for s in range(width):
+            new, k = first - lo == s, cell[s]
+            f, noise = _step(np.where(new, 0, leap(s)))
+            m, p = _dot(f, m), f @ p @ f.swapaxes(1, 2) + noise * q[:, None, None]
+            if new.any():  # a source starts at its first reading, with an unknown slope
+                m[new] = np.stack([y_first[k[new]], np.zeros(new.sum())], -1)
+                p[new] = 0
+                p[new, 0, 0], p[new, 1, 1] = 1e4 * VAR * q[new] + 1, 10 * LEVEL * q[new] + 1e-12
+            w = np.nonzero(has[s])[0]
+            k = k[w]
+            x = a[k] @ _inv(eye + p[w] @ j[k])
+            m[w], p[w] = _dot(x, m[w] + _dot(p[w], eta[k])) + b[k], x @ p[w] @ a[k].swapaxes(1, 2) + c[k]
+            source_last[w] = k
+            mean[s], cov[s], fill[s] = m, p, source_last
+        back, info = np.zeros((n, 2)), np.zeros((n, 2, 2))  # what the readings after a close say of the state there
+        for s in range(width - 1, -1, -1):
+            x = _inv(eye + cov[s] @ info)
+            mean[s], cov[s] = _dot(x, mean[s] + _dot(cov[s], back)), x @ cov[s]
+            w = np.nonzero(has[s])[0]
+            k = cell[s][w]
+            x = a[k].swapaxes(1, 2) @ _inv(eye + info[w] @ c[k])
+            back[w], info[w] = _dot(x, back[w] - _dot(info[w], b[k])) + eta[k], x @ info[w] @ a[k] + j[k]
+            f, noise = _step(np.where(first - lo >= s, 0, leap(s)))
+            x = f.swapaxes(1, 2) @ _inv(eye + info @ (noise * q[:, None, None]))
+            back, info = _dot(x, back), x @ info @ f
+        s, w = np.nonzero(np.stack([alive(s) for s in range(width)]))
+        k = fill[s, w]
         yield pa.RecordBatch.from_arrays([
-            batch.column("_source").take(pa.array(w)), pa.array((s + lo).astype(np.int32)), pa.array(np.isnan(raw[s, w])), pa.array(ids[fill, w]), pa.array(raw[fill, w]),
-            pa.array(np.exp(level[2 * s + 1, w])), pa.array(np.sqrt(var[2 * s + 1, w])),
+            batch.column("_source").take(pa.array(w)), pa.array((s + lo).astype(np.int32)), pa.array(~has[s, w]), pa.array(rid[k]), pa.array(value[k]),
+            pa.array(np.exp(mean[s, w, 0])), pa.array(np.sqrt(np.maximum(cov[s, w, 0, 0], 0))),
         ], schema=schema)
 
     return run
@@ -130,7 +241,7 @@ def regular_grid(reads: DataFrame, sessions: list[str], *, source: str, time: st
     session whose close (15:00) is not before its time; readings after the last session are dropped. A source's grid runs
     from its first to its last session with a usable reading. A session without one is ``missing`` and carries the
     reading (read_id, value) last assimilated before: that of the latest earlier session with the greatest time, then id.
-    smoothed and smoothed_sd come from the smoother (sd of the logarithm). Rows lacking source or time are left out,
+    smoothed and smoothed_sd come from the smoother over all usable readings (sd of the logarithm). Rows lacking source or time are left out,
     repeated readings count once; no usable reading gives no rows.
     """
     closes = [(np.datetime64(f"{s[:4]}-{s[4:6]}-{s[6:]}") - np.datetime64("1970-01-01")).astype(int) * DAY + CLOSE for s in sorted(set(sessions))]
@@ -148,8 +259,10 @@ def regular_grid(reads: DataFrame, sessions: list[str], *, source: str, time: st
         .where("_source is not null and _at is not null and _value > 0")
         .withColumn("_day", F.greatest(F.ceil((F.col("_at") - CLOSE) / DAY).cast("int"), F.lit(int(days[0]))))
         .join(F.broadcast(cal), "_day")
-        .groupBy("_source", "_session").agg(F.max(F.struct("_at", "_id", "_value")).alias("r"))
-        .groupBy("_source").agg(F.collect_list(F.struct("_session", "r._at", "r._value", "r._id")).alias("_reads"))
+        .groupBy("_source", "_session").agg(F.sort_array(F.collect_set(F.struct("_at", "_id", "_value"))).alias("_reads"))
+        .select("_source", F.col("_session").cast("int").alias("_session"), "_reads")
     )
-    filled = usable.mapInArrow(_evaluate(to_arrow_schema(out), np.array(closes, dtype=np.float64)), out)
+    at_close = np.array(closes, dtype=np.int64)
+    per = usable.mapInArrow(_cells(to_arrow_schema(CELL), at_close), CELL).groupBy("_source").agg(F.collect_list(F.struct("_session", "_cell")).alias("_cells"))
+    filled = per.mapInArrow(_evaluate(to_arrow_schema(out), at_close), out)
     return filled.join(F.broadcast(name), "session").select("source", "trade_date", "missing", "read_id", "value", "smoothed", "smoothed_sd")

@@ -161,6 +161,31 @@ def test_grid(spark):
     assert regular_grid(df, [], source="code", time="at", value="v", read_id="id").count() == 0
 
 
+@pytest.mark.parametrize("hot", [1, 40])
+def test_smoothed_uses_every_reading(spark, hot):
+    rnd = np.random.default_rng(5)
+    days = [f"202201{d:02d}" for d in (3, 4, 5, 6, 7, 10, 11, 12)]
+    start, day = np.datetime64("2022-01-03T00:00:00"), np.timedelta64(1, "D")
+    rows, want = [], {}
+    closes = np.array([(np.datetime64(f"{d[:4]}-{d[4:6]}-{d[6:]}T15:00:00") - start) / day for d in days])
+    for code, n in (("A", 12), ("B", 15 * hot), ("C", 1), ("D", 3)):
+        at = np.sort(rnd.integers(0, 9 * 86400, n)) if code != "D" else np.array([50_000, 50_000, 4 * 86400])
+        y = 3 + np.cumsum(rnd.normal(size=n)) * 0.02
+        rows += [(len(rows) + i, code, str(start + np.timedelta64(int(a), "s")), float(np.exp(v))) for i, (a, v) in enumerate(zip(at, y))]
+        t = at / 86400
+        ok = slice(np.searchsorted(closes, t[0]), np.searchsorted(closes, t[-1]) + 1)
+        q = max(np.mean(np.diff(y) ** 2 / (0.9 * np.diff(t) + 0.1)), 1e-10) if n > 1 else 1e-4
+        times, ys = np.concatenate([t, closes[ok]]), np.concatenate([y, np.full(len(closes[ok]), np.nan)])
+        order = np.lexsort((np.isnan(ys), times))
+        one = lambda x: np.array([x])
+        level, var, _ = smooth(times[order][:, None], ys[order][:, None], one(0.05 * q), one(0.9 * q), one(1e-4 * q))
+        want |= {(code, d): (np.exp(level[k, 0]), np.sqrt(var[k, 0])) for d, k in zip(days[ok], np.nonzero(np.isnan(ys[order]))[0])}
+    df = spark.createDataFrame([*rows, *rows[:5]], "id long, code string, at string, v double").withColumn("at", F.to_timestamp_ntz("at"))
+    got = {(r.source, r.trade_date): (r.smoothed, r.smoothed_sd) for r in regular_grid(df, days, source="code", time="at", value="v", read_id="id").collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
+
+
 # 5. profile
 
 
