@@ -79,13 +79,60 @@ def permuted(df: DataFrame, y: str, key: str, perms: int) -> DataFrame:
     return rows.withColumn("y_perm", (place <= F.sum(y).over(part)).cast("double"))
 
 
+def _null_of_date(t: int, code: np.ndarray, key: np.ndarray, y: np.ndarray, x: np.ndarray, perms: int, least: int, cells: int = 2_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Rank IC and gini (perms, factors) of a date's labels y (0, 1) as ``permuted`` shuffles them; x is (rows, factors).
+
+    Labels of two values need no sort a factor: only the places of the ones, in the order of the codes, are handled.
+    """
+    by = np.argsort(code, kind="stable")
+    key, y, x = key[by], y[by], x[by]
+    rows, n_one = len(y), int(y.sum())
+    order = np.argsort(key, kind="stable")  # ties of the hash go by key
+    base = ((key[order] % PRIME) * A_KEY + t * A_DATE) % PRIME
+    ones = np.empty((perms, n_one), dtype=np.int64)
+    for lo in range(0, perms if n_one else 0, step := max(1, cells // rows)):
+        h = (base + np.arange(lo, min(lo + step, perms))[:, None] * A_PERM) % PRIME
+        for _ in range(2):
+            h = (h * h + 11) % PRIME
+        h = (h << 32) | np.arange(rows)
+        if n_one < rows:
+            h.partition(n_one - 1, axis=1)
+        ones[lo : lo + step] = np.sort(order[h[:, :n_one] & 0xFFFFFFFF], axis=1)
+    ic, gini = np.full((perms, x.shape[1]), np.nan), np.full((perms, x.shape[1]), np.nan)
+    for f in range(x.shape[1]):
+        ok = ~np.isnan(x[:, f])
+        n = int(ok.sum())
+        if n < least:
+            continue
+        a, place = np.zeros(rows), np.cumsum(ok) * ok  # ranks of the factor and of the code
+        a[np.nonzero(ok)[0][np.argsort(x[ok, f], kind="stable")]] = np.arange(1, n + 1)
+        after = np.cumsum(a[::-1])[::-1]
+        hit = ok[ones]
+        nth, pos = np.cumsum(hit, axis=1), hit.sum(axis=1)
+        a_one = a[ones]
+        # rank of a label: zeros before it and itself; for ones all zeros and the ones up to it
+        ab = a @ place - (after[ones] * hit).sum(axis=1) - (a_one * place[ones]).sum(axis=1) + 2 * (a_one * nth).sum(axis=1) + (n - pos) * (s1 := a_one.sum(axis=1))
+        ic[:, f] = (ab - n * (n + 1) ** 2 / 4) / ((n**3 - n) / 12)
+        both = (pos > 0) & (pos < n)
+        gini[:, f] = np.where(both, 2 * (s1 - pos * (pos + 1) / 2) / np.where(both, pos * (n - pos), 1) - 1, np.nan)
+    return ic, gini
+
+
 def placebo_null(df: DataFrame, factors: list[str], y: str, key: str, perms: int, least: int = 5) -> DataFrame:
-    """(perm, ic_mean, icir, gini): the largest absolute value over the factors for each shuffle, shared by all factors."""
-    rows = permuted(df, y, key, perms)
-    long = rows.select("perm", "t", "code", "y_perm", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in factors])))
-    ic = daily_ic(long, "x", "y_perm", least, by=("perm", "factor")).groupBy("perm", "factor").agg(F.abs(F.avg("ic")).alias("ic_mean"), F.abs(ratio(F.avg("ic"), F.stddev_samp("ic"))).alias("icir"))
-    gini = daily_auc(long, "x", "y_perm", least, by=("perm", "factor")).groupBy("perm", "factor").agg(F.abs(F.avg(2 * F.col("auc") - 1)).alias("gini"))
-    return ic.join(gini, ["perm", "factor"]).groupBy("perm").agg(*[F.max(c).alias(c) for c in ("ic_mean", "icir", "gini")])
+    """(perm, ic_mean, icir, gini): the largest absolute value over the factors for each shuffle, shared by all factors.
+
+    A date's rows are handled in one task, its shuffles in blocks; a date has at most a row a code.
+    """
+    k = len(factors)
+
+    def of_date(keys: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        ic, gini = _null_of_date(int(keys[0]), f["code"].to_numpy().astype(str), f[key].to_numpy(np.int64), f[y].to_numpy(float), f[factors].to_numpy(float), perms, max(least, 2))
+        return pd.DataFrame({"perm": np.repeat(np.arange(perms, dtype=np.int32), k), "factor": np.tile(np.arange(k, dtype=np.int32), perms), "ic": ic.ravel(), "gini": gini.ravel()})
+
+    rows = df.where(F.col(y).isNotNull()).select("t", "code", F.col(key).cast("bigint").alias(key), F.col(y).cast("double").alias(y), *[F.col(c).cast("double").alias(c) for c in factors])
+    daily = rows.groupBy("t").applyInPandas(of_date, "perm int, factor int, ic double, gini double").select("perm", "factor", F.nanvl("ic", F.lit(None)).alias("ic"), F.nanvl("gini", F.lit(None)).alias("gini"))
+    per = daily.groupBy("perm", "factor").agg(F.abs(F.avg("ic")).alias("ic_mean"), F.abs(ratio(F.avg("ic"), F.stddev_samp("ic"))).alias("icir"), F.abs(F.avg("gini")).alias("gini"))
+    return per.groupBy("perm").agg(*[F.max(c).alias(c) for c in ("ic_mean", "icir", "gini")])
 
 
 def null_quantiles(null: DataFrame) -> DataFrame:

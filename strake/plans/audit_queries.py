@@ -15,7 +15,7 @@ from ..operators import portfolio as p
 from ..operators import relational as r
 from ..operators.search import search
 from ..sources.lineage import Audit, violations
-from ..sources.panel import EVENT_SQL, PANEL_SQL, bar_panel, bars, calendar, event_table
+from ..sources.panel import EVENT_FIELDS, EVENT_SQL, PANEL_SQL, bar_panel, bars, calendar, event_table
 from .panel_queries import _BT, FRAMES, _book, ic_sql, pdiv, r6, ranked_sql, rounded
 
 QUERIES: dict = {}
@@ -457,25 +457,45 @@ def _null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_null_sql() + "select cast(perm as int) as perm, " + ", ".join(r6(c, c) for c in ("ic_mean", "icir", "gini")) + " from nl")
 def placebo_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The largest absolute metric over the factors under each shuffle."""
+    """The largest absolute metric over the factors under each shuffle: the form with SQL, ten shuffles of two factors."""
     return rounded(_null(spark, sf_dir), ["perm"])
 
 
 @query(_null_sql() + " union all ".join(f"select '{c}' as metric, round(quantile_cont({c}, 0.95), 6) + 0.0 as p95, round(quantile_cont({c}, 0.99), 6) + 0.0 as p99, round(quantile_cont({c}, 0.999), 6) + 0.0 as p999 from nl" for c in ("ic_mean", "icir", "gini")))
 def placebo_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds from the null."""
+    """Thresholds from the null of ten shuffles, the form with SQL."""
     return rounded(a.null_quantiles(_null(spark, sf_dir)), ["metric"])
 
 
+#: Shuffles of the reference's default; every factor that is graded is in the null.
+_FULL_PERMS = 1000
+
+
+def _full_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return a.placebo_null(event_table(spark, sf_dir), list(EVENT_FIELDS), "y", "event_id", _FULL_PERMS)
+
+
+@query()
+def placebo_null_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest absolute metric over all factors under each of 1000 shuffles; no SQL, the operator's is placebo_null's."""
+    return rounded(_full_null(spark, sf_dir), ["perm"])
+
+
+@query()
+def placebo_quantiles_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds from the null of all factors and 1000 shuffles."""
+    return rounded(a.null_quantiles(_full_null(spark, sf_dir)), ["metric"])
+
+
 @query()
 def placebo_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The features' metrics graded by the null's thresholds."""
+    """The metrics of all factors graded by the thresholds of placebo_quantiles_full."""
     e = event_table(spark, sf_dir)
-    names = ["score", "feat_a", "feat_b"]
+    names = list(EVENT_FIELDS)
     long = e.select("t", "code", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in names])))
     ic = m.summarize_ic(m.daily_ic(long, "x", "y", by=("factor",)), by=("factor",)).select("factor", "ic_mean", "icir")
     gini = m.daily_gini(long, "x", by=("factor",)).groupBy("factor").agg(F.avg("gini").alias("gini"))
-    return rounded(a.grade(ic.join(gini, "factor"), a.null_quantiles(_null(spark, sf_dir))), ["factor", "level", "eligible"])
+    return rounded(a.grade(ic.join(gini, "factor"), a.null_quantiles(_full_null(spark, sf_dir))), ["factor", "level", "eligible"])
 
 
 # scoring and search

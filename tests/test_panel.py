@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,33 @@ def test_residual_is_orthogonal_and_explained_dates_are_null(panel):
     assert {z.residual for z in audits.residualize(panel.withColumn("z", 2 * F.col("y") + 1), "z", ["y"]).collect()} == {None}
 
 
+def test_null_against_brute_force(spark):
+    from strake.operators.audits import permuted, placebo_null
+    from strake.operators.metrics import daily_auc, daily_ic, ratio
+
+    rnd = np.random.default_rng(8)
+    gap = lambda: None if rnd.random() < 0.2 else float(rnd.integers(0, 6))
+    rows = [(t, f"c{i:02d}", int(rnd.integers(0, 1 << 40)) * 64 + i, gap(), gap(), None if t == 1 else gap(), None if rnd.random() < 0.1 else float(rnd.random() < (0, 0.3, 0.3, 0.5, 1)[t])) for t in range(5) for i in range(4 if t == 3 else 30)]
+    df = spark.createDataFrame(rows, "t int, code string, id long, a double, b double, c double, y double").withColumn("id", F.col("id") % 100_000_000)
+    long = permuted(df, "y", "id", 40).select("perm", "t", "code", "y_perm", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in "abc"])))
+    ic = daily_ic(long, "x", "y_perm", 5, by=("perm", "factor")).groupBy("perm", "factor").agg(F.abs(F.avg("ic")).alias("ic_mean"), F.abs(ratio(F.avg("ic"), F.stddev_samp("ic"))).alias("icir"))
+    gini = daily_auc(long, "x", "y_perm", 5, by=("perm", "factor")).groupBy("perm", "factor").agg(F.abs(F.avg(2 * F.col("auc") - 1)).alias("gini"))
+    want = ic.join(gini, ["perm", "factor"]).groupBy("perm").agg(F.max("ic_mean"), F.max("icir"), F.max("gini")).orderBy("perm").collect()
+    got = placebo_null(df, ["a", "b", "c"], "y", "id", 40).orderBy("perm").collect()
+    assert np.allclose(np.array(got), np.array(want), atol=1e-12) and len(got) == 40
+
+
+def test_grades_take_the_whole_null(spark, monkeypatch):
+    from strake.operators import audits
+    from strake.plans import audit_queries
+    from strake.sources.panel import EVENT_FIELDS
+
+    asked, null = [], audits.placebo_null
+    monkeypatch.setattr(audits, "placebo_null", lambda df, factors, y, key, perms: asked.append((factors, perms)) or null(df, factors, y, key, perms))
+    got = audit_queries.placebo_grades(spark, "/root/testdata/sf0.001").collect()
+    assert {r.factor for r in got} == set(EVENT_FIELDS) and asked == [(list(EVENT_FIELDS), 1000)]
+
+
 def test_p_value():
     assert audits.correlation_p(0.5, 12) == pytest.approx(0.0978, abs=1e-3) and audits.incomplete_beta(2, 3, 0.3) == pytest.approx(0.3483, abs=1e-6)
 
