@@ -100,13 +100,21 @@ def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("with b as (select * from daily where trade_date < '20230101'), i as (select * replace (raw_close + 1 as raw_close) from daily where trade_date >= '20221201' and trade_date < '20230201') select trade_date, count(*) as n, " + r6("sum(raw_close)", "total", 4) + " from (select * from b where trade_date not in (select trade_date from i) union all select * from i) group by 1")
 def upsert_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A delivery replaces the stored rows of its dates."""
+    """A delivery replaces the stored rows of its dates; a store that ends with 2022. upsert_all_dates has the whole table."""
     d = table(spark, sf_dir, "daily")
     old, new = d.where("trade_date < '20230101'"), d.where("trade_date >= '20221201' and trade_date < '20230201'").withColumn("raw_close", F.col("raw_close") + 1)
     u = r.upsert(old, new, "trade_date").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("raw_close").alias("total"))
     return rounded(u, ["trade_date", "n"], 4)
 
 
+@query("with i as (select * replace (raw_close + 1 as raw_close) from daily where trade_date >= '20221201' and trade_date < '20230201') select * from daily where trade_date is null or trade_date not in (select trade_date from i) union all select * from i")
+def upsert_all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole daily table after a delivery of two months has replaced their rows."""
+    d = table(spark, sf_dir, "daily")
+    new = d.where("trade_date >= '20221201' and trade_date < '20230201'").withColumn("raw_close", F.col("raw_close") + 1)
+    return r.upsert(d, new, "trade_date")
+
+
 @query(EVENT_SQL + "select t, code, row_number() over (partition by t order by code) - 1 as slot from e")
 def event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every row in its date."""

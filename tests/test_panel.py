@@ -177,6 +177,18 @@ def test_relational_guards(spark):
 SPEC = st.TableSpec("bars", ("trade_date", "code", "px"), frozenset({"px"}), "trade_date")
 
 
+def test_upsert_keeps_every_date(spark):
+    import __spark_entry__ as entry
+
+    from .oracle import compare, database
+
+    sf = "/root/testdata/sf0.001"
+    d = spark.read.parquet(f"{sf}/daily.parquet")
+    got = entry.queries()["upsert_all_dates"](spark, sf)
+    assert got.groupBy("trade_date").count().exceptAll(d.groupBy("trade_date").count()).count() == 0 and got.count() == d.count()
+    assert compare(spark, database(sf), sf, entry.queries()["upsert_all_dates"], entry.oracle_sql()["upsert_all_dates"]).startswith("ok")
+
+
 def test_store(spark, tmp_path):
     s = st.Store(spark, str(tmp_path))
     assert s.read_dated(SPEC, "20200101", "20991231").count() == 0
