@@ -71,16 +71,22 @@ def fitness(df: DataFrame, nodes: list[Node], ret: str, k: int, min_coverage: fl
 
 def survivors(df: DataFrame, scored: list[Scored], n: int, max_corr: float = 0.7) -> list[Scored]:
     """The best of positive fitness, smaller trees first at ties, none too correlated with a better one."""
-    ok = sorted((s for s in scored if s.fitness > 0), key=lambda s: (-s.fitness, s.size, s.expression))[: 4 * n]
-    if len(ok) < 2:
-        return ok
-    wide = df.select("t", "code", *[finite(compile_node(s.node)).alias(f"f{i}") for i, s in enumerate(ok)])
-    corr = {(r.a, r.b): r["corr"] for r in factor_correlation(wide, [f"f{i}" for i in range(len(ok))]).collect()}
-    kept: list[int] = []
-    for i in range(len(ok)):
-        if len(kept) < n and all(abs(corr.get((f"f{j}", f"f{i}")) or 0) <= max_corr for j in kept):
-            kept.append(i)
-    return [ok[i] for i in kept]
+    ok = sorted((s for s in scored if s.fitness > 0), key=lambda s: (-s.fitness, s.size, s.expression))
+    kept: list[Scored] = []
+    for at in range(0, len(ok), 4 * n):  # a block at a time against those kept, until there are n or none is left
+        if len(kept) == n:
+            break
+        first, pool = len(kept), [*kept, *ok[at : at + 4 * n]]
+        corr = {}
+        if len(pool) > 1:
+            wide = df.select("t", "code", *[finite(compile_node(s.node)).alias(f"f{i}") for i, s in enumerate(pool)])
+            corr = {(r.a, r.b): r["corr"] for r in factor_correlation(wide, [f"f{i}" for i in range(len(pool))]).collect()}
+        places = list(range(first))
+        for i in range(first, len(pool)):
+            if len(places) < n and all(abs(corr.get((f"f{j}", f"f{i}")) or 0) <= max_corr for j in places):
+                places.append(i)
+        kept = [pool[i] for i in places]
+    return kept
 
 
 def search(df: DataFrame, fields: list[str], ret: str, *, k: int = 4, population: int = 40, generations: int = 5, kind: str = "panel", seed: int = 1, keep: int = 5, max_depth: int = 5, max_size: int = 25) -> list[Scored]:

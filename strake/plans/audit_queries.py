@@ -519,8 +519,8 @@ def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def factor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A small evolutionary search for event factors; a row a survivor."""
-    found = search(event_table(spark, sf_dir), ["score", "feat_a", "feat_b", "feat_c"], "ret", k=_K, population=10, generations=2, kind="event", seed=3)
+    """An evolutionary search for event factors with search()'s defaults; a row a survivor."""
+    found = search(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", k=_K, kind="event", seed=3)
     return spark.createDataFrame([(s.expression, float(s.fitness), s.size) for s in found] or [], "expression string, fitness double, size int")
 
 

@@ -230,6 +230,17 @@ def test_calendar_and_lineage(spark):
         require_clean(df, Audit("src", "ver"), cal)
 
 
+def test_survivors_beyond_the_first_block(spark):
+    from strake.operators.search import Scored, survivors
+
+    rnd = random.Random(9)
+    df = spark.createDataFrame([(t, f"c{i}", rnd.gauss(0, 1), rnd.gauss(0, 1)) for t in range(12) for i in range(12)], "t int, code string, a double, b double")
+    texts = ["a", *[f"add(a, {'add(a, ' * k}a{')' * k})" for k in range(8)], "b"]
+    nodes = [parse(x) for x in texts]
+    found = survivors(df, [Scored(str(x), x, 100.0 - i, x.size) for i, x in enumerate(nodes)], 2)
+    assert [s.expression for s in found] == [str(nodes[0]), str(nodes[-1])]
+
+
 def test_search_recovers_a_planted_factor(spark):
     rnd = random.Random(1)
     trees = [grow(rnd, ["x", "y"], 4, "panel", k % 2 == 0) for k in range(50)]
