@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,12 +61,20 @@ def hot_keys(df: DataFrame, key: str, share: int = 64, rows_per_task: int = 500_
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage in the shared folder named by spark.checkpoint.dir; set one only where it is unset."""
+    """Cut lineage in the shared folder named by spark.checkpoint.dir.
+
+    Where none is named, a folder of this machine will do for local masters only; on a cluster executors couldn't share it.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), f"strake-checkpoint-{uuid.uuid4().hex}"))
+        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="strake-checkpoint-")
+            atexit.register(shutil.rmtree, at, True)
+        sc.setCheckpointDir(at)
     return df.checkpoint(eager)
 
 

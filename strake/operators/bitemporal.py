@@ -6,45 +6,56 @@ is the current one at the point (v, r). The plane of an entity splits into disjo
 version each. One stack pass over the versions in that order yields at most two rectangles a version: a new version
 cuts the upper part off the nearest earlier version that was recorded before it, and ends those recorded later.
 
-Rectangles are indexed by grid cells (entity, valid cell, recorded cell) and points are joined to the rectangles of
-their own cell. An entity with few versions is one cell. An entity with many is cut into cells of fewer days the more
-versions it has; a cell takes its own versions, clipped to the cell, and the last earlier one from below its corner,
-so that cells are independent and no task holds all versions of a large entity. Only cells that hold points are built.
+The rectangles are indexed by a grid of square cells (entity, valid cell, recorded cell), and every point is compared with
+the rectangles of its own cell only. The width of a cell is that at which a column of cells holds ``cell_versions``
+versions of a usual entity; crowded entities have narrower cells, down to a day. The rectangles of a column are made apart
+from those of the others, so that no task holds all versions of an entity: what earlier columns hand on to it is the front
+of versions not yet superseded at its left edge, within the recorded times its points have. An entity has at most as many
+columns as the calendar has days; one pass over their earliest recorded times tells which column's front to take where.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..common import day_number, hot_keys, micros, norm_code
+from ..common import checkpoint, day_number, micros, norm_code
 
 EVER = 2**62  # recorded time: never superseded
-BEYOND = EVER - 1  # superseded by a version recorded after the cell
 LAST_DAY = 2**31 - 1
 DAY_US = 86_400_000_000
 UNKNOWN = -1  # id of the region in which versions are in force but none was known yet
+WIDEST = 1024  # days
 CELL = ["_k", "_cv", "_cr"]
 
 
-def staircase(versions: list[tuple]) -> Iterator[tuple]:
-    """Rectangles (valid from, valid to, recorded from, recorded to, id, payload) of one cell's versions
-    (valid, recorded, id, payload), given in order. Intervals are half open; recorded to is EVER where nothing
-    supersedes the version."""
-    stack: list[list] = []
-    for v, r, i, p in versions:
+class Stairs:
+    """The stack pass: versions go in in order, rectangles (valid from, valid to, recorded from, recorded to, id, payload)
+    come out. Intervals are half open; recorded to is EVER where nothing supersedes the version."""
+
+    def __init__(self):
+        self.stack: list[list] = []
+
+    def add(self, v: int, r: int, i, p) -> Iterator[tuple]:
+        stack = self.stack
         while stack and stack[-1][0] >= r:
             yield from _piece(stack.pop(), v)
         if stack:
             yield from _piece(stack[-1], v)
             stack[-1][1:3] = v, r
         stack.append([r, v, EVER, i, p])
-    for top in stack:
-        yield from _piece(top, LAST_DAY)
+
+    def end(self) -> Iterator[tuple]:
+        for top in self.stack:
+            yield from _piece(top, LAST_DAY)
+        self.stack = []
 
 
 def _piece(top: list, end: int) -> Iterator[tuple]:
@@ -53,19 +64,73 @@ def _piece(top: list, end: int) -> Iterator[tuple]:
         yield start, end, r, upper, i, p
 
 
+def staircase(versions: list[tuple]) -> Iterator[tuple]:
+    """Rectangles of a column's versions (valid, recorded, id, payload), given in order."""
+    s = Stairs()
+    for x in versions:
+        yield from s.add(*x)
+    yield from s.end()
+
+
 def _rectangles_of(schema: pa.Schema):
+    """(_k, _cv, _w, _lo, _hi, _v, _r, _id, _p), each column's versions in order, to rectangles, a row for each cell from
+    _lo to _hi that one lies in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        column, stairs, out = None, Stairs(), []
+
+        def put(rects: Iterator[tuple]) -> None:
+            k, cv, w, lo, hi = column
+            for v1, v2, r1, r2, i, p in rects:
+                for cr in range(max(lo, r1 // (w * DAY_US)), min(hi, (r2 - 1) // (w * DAY_US)) + 1):
+                    out.append((k, cv, cr, v1, v2, r1, r2, i, p))
+
+        for batch in batches:
+            for *at, v, r, i, p in zip(*(batch.column(c).to_pylist() for c in ("_k", "_cv", "_w", "_lo", "_hi", "_v", "_r", "_id", "_p"))):
+                if column is None or at != column:
+                    if column:
+                        put(stairs.end())
+                    column = at
+                put(stairs.add(v, r, i, p))
+                if len(out) > 20_000:
+                    yield _batch(out, schema)
+                    out = []
+        if column:
+            put(stairs.end())
+        if out:
+            yield _batch(out, schema)
+
+    return run
+
+
+def _fronts_of(schema: pa.Schema):
+    """An entity's columns in order (_k, _cv, earliest recorded time, recorded time of the last version, _w, _lo, _hi), the
+    last three where it holds points, to what each column with points takes from earlier ones: (_k, _cv, _w, _lo, _hi,
+    column, recorded from, recorded to). A row without a column stands for versions recorded after its points."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, rows, out = None, [], []
+        key, firsts, columns, last, out = None, [], [], None, []
         for batch in batches:
-            for k, cv, cr, v, r, i, p in zip(*(batch.column(c).to_pylist() for c in (*CELL, "_v", "_r", "_id", "_p"))):
-                if (k, cv, cr) != cell:
-                    out += [(*cell, *x) for x in staircase(rows)] if cell else []
-                    cell, rows = (k, cv, cr), []
-                    if len(out) > 20_000:
-                        yield _batch(out, schema)
-                        out = []
-                rows.append((v, r, i, p))
-        out += [(*cell, *x) for x in staircase(rows)] if cell else []
+            for k, cv, first, final, w, lo, hi in zip(*(c.to_pylist() for c in batch.columns)):
+                if k != key:
+                    key, firsts, columns = k, [], []
+                if w is not None and firsts:
+                    a, b = lo * w * DAY_US, (hi + 1) * w * DAY_US
+                    at, end = max(0, bisect_right(firsts, a) - 1), bisect_left(firsts, b)
+                    for x in range(at, end):
+                        out.append((k, cv, w, lo, hi, columns[x], max(a, firsts[x]), min(b, firsts[x + 1] if x + 1 < len(firsts) else EVER)))
+                    if last >= b:
+                        out.append((k, cv, w, lo, hi, None, b, EVER))
+                if first is not None:
+                    while firsts and firsts[-1] >= first:
+                        firsts.pop()
+                        columns.pop()
+                    firsts.append(first)
+                    columns.append(cv)
+                    last = final
+                if len(out) > 20_000:
+                    yield _batch(out, schema)
+                    out = []
         if out:
             yield _batch(out, schema)
 
@@ -76,42 +141,43 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
 
 
-def _cells(df: DataFrame, dense: DataFrame | None) -> DataFrame:
-    """Adds _cv and _cr: 0 for entities that are one cell."""
-    if dense is None:
-        return df.withColumns({"_cv": F.lit(0), "_cr": F.lit(0)})
-    day = F.floor(F.col("_r") / DAY_US)
-    cell = lambda c: F.coalesce(F.floor(c / F.col("_w")).cast("int"), F.lit(0))
-    return df.join(dense, "_k", "left").withColumns({"_cv": cell(F.col("_v")), "_cr": cell(day)})
-
-
-def _clipped(own: DataFrame, dense: DataFrame, points: DataFrame) -> DataFrame:
-    """The versions each occupied cell of a dense entity needs, clipped to the cell."""
-    cells = points.join(dense, "_k", "left_semi").select("_k", "_cv", "_cr", "_w").distinct()
-    mine = own.select("_k", F.col("_cv").alias("_ov"), F.col("_cr").alias("_or"), "_v", "_r", "_id", "_p")
-    column = cells.join(mine.withColumn("_cv", F.col("_ov")), ["_k", "_cv"])
-    row = cells.join(mine.withColumn("_cr", F.col("_or")), ["_k", "_cr"]).where("_ov < _cv")
-    tops = mine.groupBy("_k", "_ov", "_or").agg(F.max(F.struct("_v", "_r", "_id")).alias("_top"))
-    corner = (
-        cells.join(tops, "_k").where("_ov < _cv and _or != _cr")
-        .groupBy("_k", "_cv", "_cr", "_w", (F.col("_or") > F.col("_cr")).alias("_after")).agg(F.max("_top").alias("_top"))
-        .select("_k", "_cv", "_cr", "_w", "_top._v", "_top._r", "_top._id")
-        .join(mine.select("_k", "_v", "_r", "_id", "_p", "_ov", "_or"), ["_k", "_v", "_r", "_id"])
-    )
-    cols = [*CELL, "_w", "_ov", "_or", "_v", "_r", "_id", "_p"]
-    low_v, low_r = F.col("_cv") * F.col("_w"), F.col("_cr").cast("bigint") * F.col("_w") * F.lit(DAY_US)
-    return (
-        column.select(cols).unionByName(row.select(cols)).unionByName(corner.select(cols))
-        .withColumns({"_sv": F.col("_v"), "_sr": F.col("_r")})
-        .withColumn("_v", F.when(F.col("_ov") < F.col("_cv"), low_v).otherwise(F.col("_v")).cast("int"))
-        .withColumn("_r", F.when(F.col("_or") < F.col("_cr"), F.when(F.col("_r") == -EVER, F.col("_r")).otherwise(low_r)).when(F.col("_or") > F.col("_cr"), F.lit(BEYOND)).otherwise(F.col("_r")))
-        .select(*CELL, "_sv", "_sr", "_v", "_r", "_id", "_p")
-    )
+def _days_a_cell(versions: Column, span: Column, each: int) -> Column:
+    """The power of two of days, from 1 to WIDEST, in which ``each`` of the versions lie."""
+    return F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.lit(1.0), F.least(F.lit(float(WIDEST)), each * span / versions))))).cast("int")
+
+
+def _in_cells(df: DataFrame, width: int, dense: DataFrame | None) -> DataFrame:
+    """Adds _w, _cv and _cr."""
+    df = df.withColumn("_w", F.lit(width)) if dense is None else df.join(dense, "_k", "left").withColumn("_w", F.coalesce("_w", F.lit(width)))
+    return df.withColumns({"_cv": F.floor(F.col("_v") / F.col("_w")).cast("int"), "_cr": F.floor(F.floor(F.col("_r") / DAY_US) / F.col("_w")).cast("int")})
+
+
+def _rectangles(base: DataFrame, occupied: DataFrame) -> DataFrame:
+    """(_k, _cv, _cr, _v1, _v2, _r1, _r2, known_id, known): the rectangles in the occupied cells."""
+    order = ["_v", "_r", "_id"]
+    spans = occupied.groupBy("_k", "_cv", "_w").agg(F.min("_cr").alias("_lo"), F.max("_cr").alias("_hi"))
+    heads = base.groupBy("_k", "_cv").agg(F.min("_r").alias("_first"), F.max(F.struct(*order)).alias("_last")).select("_k", "_cv", "_first", F.col("_last._r").alias("_final"))
+    both = heads.join(spans, ["_k", "_cv"], "full").select("_k", "_cv", "_first", "_final", "_w", "_lo", "_hi")
+    taken = T.StructType([T.StructField("_k", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("_cv", "_w", "_lo", "_hi", "_from")], T.StructField("_a", T.LongType()), T.StructField("_b", T.LongType())])
+    takes = both.repartition("_k").sortWithinPartitions("_k", "_cv").mapInArrow(_fronts_of(to_arrow_schema(taken)), taken)
+
+    # the front at a column's right edge: versions that no later one of the column was recorded before
+    ahead = F.min("_r").over(W.partitionBy("_k", "_cv").orderBy(*order).rowsBetween(1, W.unboundedFollowing))
+    front = base.withColumn("_until", F.coalesce(ahead, F.lit(EVER))).where("_r < _until").select("_k", F.col("_cv").alias("_from"), "_r", "_until", "_id", "_p")
+    cols = ["_k", "_cv", "_w", "_lo", "_hi", "_own", "_v", "_r", "_id", "_p"]
+    edge = (F.col("_cv") * F.col("_w")).alias("_v")
+    handed = takes.where("_from is not null").join(front, ["_k", "_from"]).where("_r < _b and _until > _a").withColumns({"_own": F.lit(0), "_v": edge}).select(cols)
+    later = takes.where("_from is null").select("_k", "_cv", "_w", "_lo", "_hi", F.lit(0).alias("_own"), edge, F.col("_a").alias("_r"), F.lit(None).cast("bigint").alias("_id"), F.lit(None).cast(base.schema["_p"].dataType).alias("_p"))
+    own = base.drop("_w").join(spans, ["_k", "_cv"]).withColumn("_own", F.lit(1)).select(cols)
+
+    out = T.StructType([T.StructField("_k", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in ("_cv", "_cr", "_v1", "_v2")], T.StructField("_r1", T.LongType()), T.StructField("_r2", T.LongType()), T.StructField("known_id", T.LongType()), T.StructField("known", base.schema["_p"].dataType)])
+    rows = own.unionByName(handed).unionByName(later).repartition("_k", "_cv").sortWithinPartitions("_k", "_cv", "_own", *order)
+    return rows.mapInArrow(_rectangles_of(to_arrow_schema(out)), out)
 
 
 def known_at(
     points: DataFrame, versions: DataFrame, *, key: str, time: str, version_key: str, valid_from: str, recorded: str,
-    version_id: str, payload: list[str], cell_versions: int = 64, valid_at: Column | None = None, salt_rows: int = 500_000,
+    version_id: str, payload: list[str], cell_versions: int = 4, valid_at: Column | None = None, salt_rows: int = 500_000,
 ) -> DataFrame:
     """Points with ``known_id``, ``known`` (struct of the payload columns) and ``revised``.
 
@@ -128,39 +194,33 @@ def known_at(
         .where("_k is not null and _v is not null and _r is not null").dropDuplicates(["_k", "_v", "_r", "_id"])
     )
     p_type = base.schema["_p"].dataType
-    unknown = base.groupBy("_k").agg(F.min("_v").alias("_v")).select("_k", "_v", F.lit(-EVER).alias("_r"), F.lit(UNKNOWN).cast("bigint").alias("_id"), F.lit(None).cast(p_type).alias("_p"))
-    base = base.unionByName(unknown)
+    base = checkpoint(base)
+    per = base.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_v"), (F.max("_v") - F.min("_v") + 1).alias("_span"))
+    per = per.withColumn("_w", _days_a_cell(F.col("_n"), F.col("_span"), cell_versions))
+    widths = per.groupBy("_w").agg(F.count(F.lit(1)).alias("keys"), F.sum("_n").alias("n"), F.sum("_span").alias("span")).collect()  # at most 11 rows
+    if not widths:
+        return points.withColumns({"known_id": F.lit(None).cast("bigint"), "known": F.lit(None).cast(p_type), "revised": F.lit(None).cast("boolean")})
+    unknown = per.select("_k", "_v", F.lit(-EVER).alias("_r"), F.lit(UNKNOWN).cast("bigint").alias("_id"), F.lit(None).cast(p_type).alias("_p"))
+    days = cell_versions * sum(x.span for x in widths) / sum(x.n for x in widths)
+    usual = 1 << min(WIDEST, max(1, int(days))).bit_length() - 1
+    dense = per.select("_k", "_w").where(F.col("_w") * 8 <= usual)
+    n_dense = sum(x["keys"] for x in widths if x._w * 8 <= usual)
+    dense = None if not n_dense else F.broadcast(dense) if n_dense <= 50_000 else dense  # beyond about 2 MB a shuffled join
+    base = _in_cells(base.unionByName(unknown), usual, dense).drop("_cr")
 
     at = F.to_date(F.col(time)) if valid_at is None else valid_at
-    pts = points.withColumns({"_k": norm_code(key), "_v": F.unix_date(at), "_r": micros(time)})
-
-    dense = base.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > cell_versions)
-    dense = dense.select("_k", F.greatest(F.lit(1), F.shiftrightunsigned(F.lit(1024), 1) / F.pow(F.lit(2), F.ceil(F.log2(F.col("_n") / cell_versions)))).cast("int").alias("_w"))
-    n_dense = dense.count()
-    if n_dense:
-        dense = F.broadcast(dense) if n_dense <= 50_000 else dense
-        pts, own = _cells(pts, dense), _cells(base, dense)
-        few = own.where("_w is null").select(*CELL, F.col("_v").alias("_sv"), F.col("_r").alias("_sr"), "_v", "_r", "_id", "_p")
-        own = few.unionByName(_clipped(own.where("_w is not null"), dense, pts.select(*CELL, "_w").where("_k is not null and _v is not null")))
-        pts = pts.drop("_w")
-    else:
-        pts, own = _cells(pts, None), _cells(base, None).withColumns({"_sv": F.col("_v"), "_sr": F.col("_r")})
-
-    out = T.StructType([T.StructField("_k", T.StringType()), T.StructField("_cv", T.IntegerType()), T.StructField("_cr", T.IntegerType()), T.StructField("_v1", T.IntegerType()), T.StructField("_v2", T.IntegerType()), T.StructField("_r1", T.LongType()), T.StructField("_r2", T.LongType()), T.StructField("known_id", T.LongType()), T.StructField("known", p_type)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    rects = own.repartition(*CELL).sortWithinPartitions(*CELL, "_sv", "_sr", "_id").mapInArrow(_rectangles_of(to_arrow_schema(out)), out)
-    rects = rects.withColumn("revised", F.col("_r2") < EVER)
-
-    # at most 64 keys can be hot, so the list may come to the driver
-    hot = {r["_k"]: r["_salts"] for r in hot_keys(pts, "_k", rows_per_task=salt_rows).collect()}
-    if hot:
-        salts = F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])
-        n = F.coalesce(F.try_element_at(salts, F.col("_k")), F.lit(1))
-        pts = pts.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), n.cast("bigint")).cast("int"))
-        rects = rects.withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1)))
-    else:
-        pts, rects = pts.withColumn("_salt", F.lit(0)), rects.withColumn("_salt", F.lit(0))
+    pts = _in_cells(points.withColumns({"_k": norm_code(key), "_v": F.unix_date(at), "_r": micros(time)}), usual, dense)
+    occupied = checkpoint(pts.where("_k is not null and _v is not null and _r is not null").groupBy(*CELL, "_w").agg(F.count(F.lit(1)).alias("_n")))
+    rects = _rectangles(base, occupied).withColumn("revised", F.col("_r2") < EVER)
+
+    # cells of more than salt_rows points and 1/4096 of all are shared out; there are at most 4096 of them
+    least = F.greatest(F.lit(salt_rows), F.ceil(F.col("_all") / 4096))
+    total = occupied.agg(F.sum("_n").alias("_all"))
+    hot = occupied.crossJoin(F.broadcast(total)).where(F.col("_n") > least).select(*CELL, F.ceil(F.col("_n") / least).cast("int").alias("_salts"))  # one row on the right
+    hot = F.broadcast(hot)
+    salts = F.coalesce("_salts", F.lit(1))
+    pts = pts.drop("_w").join(hot, CELL, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts.cast("bigint")).cast("int"))
+    rects = rects.join(hot, CELL, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
     p, q = pts.alias("p"), rects.alias("q")
     on = [F.col(f"p.{c}") == F.col(f"q.{c}") for c in (*CELL, "_salt")]
     on += [F.expr("p._v >= q._v1 and p._v < q._v2 and p._r >= q._r1 and p._r < q._r2")]

@@ -42,7 +42,7 @@ def brute_known(points, versions):
     return sorted(out, key=repr)
 
 
-@pytest.mark.parametrize("cell", [2, 64])
+@pytest.mark.parametrize("cell", [1, 4, 64])
 def test_known_at_against_brute_force(spark, cell):
     rnd = random.Random(1)
     day = lambda: f"2022-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d}"
@@ -58,6 +58,27 @@ def test_known_at_against_brute_force(spark, cell):
     assert known_at(p, v.limit(0), **args).where("known_id is not null").count() == 0 and known_at(p.limit(0), v, **args).count() == 0
 
 
+def test_points_meet_few_rectangles_of_a_crowded_key(spark, monkeypatch):
+    """Thousands of versions of one key, known early, late and long after: every point's cell holds a few rectangles only."""
+    from strake.operators import bitemporal
+
+    rnd = random.Random(11)
+    day = lambda n: np.datetime64("2022-01-01") + n
+    versions = [(i, "hot" if i % 12 else "few", v := rnd.randint(0, 700), max(0, v + rnd.choice([-2, 0, 0, 1, 3, 400]))) for i in range(3000)]
+    points = [(i, rnd.choice(["hot", "hot", "few", "none"]), n, max(0, n + rnd.choice([0, 0, 0, -500, 300]))) for i in range(1500) for n in [rnd.randint(0, 720)]]
+    v = spark.createDataFrame([(i, k, str(day(a)).replace("-", ""), f"{day(b)} 10:00:00") for i, k, a, b in versions], "vid long, code string, since string, seen string").withColumn("seen", F.to_timestamp_ntz("seen"))
+    p = spark.createDataFrame([(i, k, str(day(a)), f"{day(b)} 12:00:00") for i, k, a, b in points], "id long, code string, day string, at string").withColumn("at", F.to_timestamp_ntz("at"))
+    seen, make = [], bitemporal._rectangles
+    monkeypatch.setattr(bitemporal, "_rectangles", lambda *a: seen.append(make(*a)) or seen[-1])
+    got = {r.id: (r.known_id, r.revised) for r in known_at(p, v, key="code", time="at", version_key="code", valid_from="since", recorded="seen", version_id="vid", payload=["vid"], valid_at=F.to_date("day"), salt_rows=40).collect()}
+    for i, k, a, b in points:
+        mine = [(d, r, n) for n, c, d, r in versions if c == k and d <= a]
+        right = max((x for x in mine if x[1] <= b), default=None)
+        assert got[i] == ((right[2] if right else -1, right != max(mine)) if mine else (None, None))
+    cells = seen[0].groupBy("_k", "_cv", "_cr").count().where("_k = 'HOT'")
+    assert cells.count() > 200 and cells.agg(F.avg("count")).first()[0] < 20
+
+
 # 2. references to records that do not exist
 
 
