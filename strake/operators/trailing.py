@@ -14,6 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,12 +57,12 @@ def query_nodes(window: int, size: int) -> tuple[list[list[int]], list[list[int]
     return own, before
 
 
-def answer(trees: np.ndarray, window: int) -> np.ndarray:
-    """(n - 1, S): the trailing totals of each day of trees[1:], trees[i - 1] being the shard before trees[i]."""
+def total(trees: np.ndarray, before: np.ndarray, window: int) -> np.ndarray:
+    """(n, S): the trailing totals of each day of trees, before[i] being the shard before trees[i]."""
     size = trees.shape[1] // 2
-    out = np.zeros((len(trees) - 1, size))
+    out = np.zeros((len(trees), size))
     for at, nodes in enumerate(zip(*query_nodes(window, size))):
-        for part, picked in zip((trees[1:], trees[:-1]), nodes):
+        for part, picked in zip((trees, before), nodes):
             for k in picked:
                 out[:, at] += part[:, k]
     return out
@@ -105,8 +106,8 @@ def _totals(schema: pa.Schema, windows: tuple[int, ...], size: int, measures: in
                 for m in range(measures):
                     ts, tc = build(sums[m]), build(counts[m])
                     for w in windows:
-                        s = answer(ts, w).ravel()[where]
-                        c = answer(tc, w).ravel()[where] if {"count", "mean"} & set(stats) else None
+                        s = total(ts[1:], ts[:-1], w).ravel()[where]
+                        c = total(tc[1:], tc[:-1], w).ravel()[where] if {"count", "mean"} & set(stats) else None
                         for stat in stats:
                             if stat == "mean":
                                 cols.append(pa.array(np.divide(s, c, out=np.zeros_like(s), where=c > 0), mask=c == 0))
@@ -174,17 +175,33 @@ def apply_corrections(trees: DataFrame, corrections: DataFrame, *, entity: str,
     return trees.join(delta, ["entity", "shard"], "full").select("entity", "shard", new("sums", "s").alias("sums"), new("counts", "c").alias("counts"))
 
 
-def query_trees(trees: DataFrame, window: int, size: int = 64) -> DataFrame:
-    """(entity, day, total, n) for every day of every stored shard, from its tree and the one before."""
-    if window > size:
+def query_trees(trees: DataFrame, windows: tuple[int, ...], size: int = 64) -> DataFrame:
+    """(entity, day, total_{w}, n_{w}...) for every day of every stored shard, from its tree and the one before."""
+    if max(windows) > size:
         raise ValueError("a window may not be longer than a shard")
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("entity").orderBy("shard")
-    both = trees.select("entity", "shard", "sums", "counts", F.lag(F.struct("shard", "sums", "counts")).over(w).alias("p"))
-    both = both.withColumn("p", F.when(F.col("p.shard") == F.col("shard") - 1, F.col("p")))
-    own, before = query_nodes(window, size)
-    lit = lambda xs: F.array(*[F.array(*[F.lit(k) for k in x]).cast("array<int>") for x in xs])
-    pick = lambda arr, ks: F.aggregate(ks, F.lit(0.0), lambda a, k: a + F.coalesce(F.get(arr, k), F.lit(0.0)))
-    day = both.select("entity", (F.col("shard") * size).alias("lo"), "sums", "counts", "p", F.posexplode(F.arrays_zip(lit(own).alias("o"), lit(before).alias("b"))).alias("i", "n"))
-    return day.select("entity", (F.col("lo") + F.col("i")).alias("day"), (pick(F.col("sums"), F.col("n.o")) + pick(F.col("p.sums"), F.col("n.b"))).alias("total"), (pick(F.col("counts"), F.col("n.o")) + pick(F.col("p.counts"), F.col("n.b"))).alias("n"))
+    w = W.partitionBy("entity").orderBy("shard")  # a row for every ``size`` days
+    before = F.lag(F.struct("shard", "sums", "counts")).over(w)
+    both = trees.select("entity", "shard", "sums", "counts", F.when(before["shard"] == F.col("shard") - 1, before).alias("p")).select("entity", "shard", "sums", "counts", F.col("p.sums").alias("p_sums"), F.col("p.counts").alias("p_counts"))
+    out = T.StructType([trees.schema["entity"], T.StructField("day", T.IntegerType())])
+    for k in windows:
+        out = out.add(f"total_{k}", T.DoubleType()).add(f"n_{k}", T.LongType())
+    schema = to_arrow_schema(out)
+
+    def dense(lists: pa.ListArray) -> np.ndarray:
+        """(rows, 2 size), zeros for a NULL."""
+        x = np.zeros((len(lists), 2 * size))
+        x[np.asarray(lists.is_valid())] = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * size)
+        return x
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                sums, counts, p_sums, p_counts = (dense(b.column(c)) for c in ("sums", "counts", "p_sums", "p_counts"))
+                day = b.column("shard").to_numpy()[:, None] * size + np.arange(size)
+                cols = [b.column("entity").take(pa.array(np.repeat(np.arange(b.num_rows), size))), pa.array(day.ravel().astype(np.int32))]
+                for k2 in windows:
+                    cols += [pa.array(total(sums, p_sums, k2).ravel()), pa.array(np.rint(total(counts, p_counts, k2)).astype(np.int64).ravel())]
+                yield pa.RecordBatch.from_arrays(cols, schema=schema)
+
+    return both.mapInArrow(run, out)

@@ -11,7 +11,7 @@ from ..operators.grid import regular_grid
 from ..operators.orphans import find_orphans
 from ..operators.profile import profile
 from ..operators.topn import top_n
-from ..operators.trailing import trailing_totals
+from ..operators.trailing import apply_corrections, build_trees, query_trees, trailing_totals
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -87,7 +87,7 @@ def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
             one = df.select(F.lit(name).alias("src_table"), F.col(row).cast("bigint").alias("row_id"), plain_date("trade_date").alias("ref"), time.alias("at"))
             dated = one if dated is None else dated.unionByName(one)
     codes = find_orphans(refs, table(spark, sf_dir, "stock_basic"), key=F.col("ref"), parent_key=norm_code("ts_code"), at=F.col("at"), alive_from=micros("loaded_at"), alive_to=micros("deleted_at"))
-    days = find_orphans(dated, table(spark, sf_dir, "trade_cal").where("is_open = 1"), key=F.col("ref"), parent_key=F.col("cal_date"))
+    days = find_orphans(dated, table(spark, sf_dir, "trade_cal").where("is_open = 1"), key=F.col("ref"), parent_key=F.col("cal_date"), fixed=True)
     code_field = F.when(F.col("src_table") == "event_rows", "stock_code").otherwise("ts_code")
     both = codes.withColumn("ref_field", code_field).unionByName(days.withColumn("ref_field", F.lit("trade_date")))
     return both.groupBy("src_table", "row_id", "ref_field").agg(F.min("at").alias("at"))
@@ -153,6 +153,22 @@ def p3_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("ts_code", day_text(F.col("day")).alias("trade_date"), *cols)
 
 
+@query
+def p3_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trailing turnover from stored trees: built from the first delivery of every bar, then corrected by the later ones."""
+    cal = table(spark, sf_dir, "trade_cal").where("is_open = 1").select(F.col("cal_date").alias("trade_date")).distinct()
+    order, x = F.struct("loaded_at", "bar_id"), finite("turnover_rate_f")
+    bars = table(spark, sf_dir, "daily").where("ts_code is not null").join(F.broadcast(cal), "trade_date", "left_semi")  # the calendar has a fixed size
+    both = bars.groupBy(norm_code("ts_code").alias("ts_code"), day_number("trade_date").alias("day")).agg(F.min_by(F.struct(x.alias("x")), order)["x"].alias("first"), F.max_by(F.struct(x.alias("x")), order)["x"].alias("last"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    late = both.where("not (first <=> last)").select("ts_code", "day", (zero("last") - zero("first")).alias("d_sum"), (F.col("last").isNotNull().cast("int") - F.col("first").isNotNull().cast("int")).alias("d_count"))
+    trees = apply_corrections(build_trees(both, entity="ts_code", day="day", value="first"), late, entity="ts_code", day="day", d_sum="d_sum", d_count="d_count")
+    span = both.groupBy(F.col("ts_code").alias("entity")).agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    days = query_trees(trees, (7, 30)).join(span, "entity").where("day between lo and hi")
+    r = lambda c: (F.round(c, 4) + 0.0).alias(c.replace("total", "turnover") + "d")
+    return days.select(F.col("entity").alias("ts_code"), day_text(F.col("day")).alias("trade_date"), r("total_7"), r("total_30"), F.col("n_7").alias("bars_7d"), F.col("n_30").alias("bars_30d"))
+
+
 _P3 = """
 with b as (select upper(trim(ts_code)) as c, trade_date, arg_max((turnover_rate_f, pct_chg), (loaded_at, bar_id)) as v from daily
   where trade_date in (select cal_date from trade_cal where is_open = 1) group by 1, 2),
@@ -168,6 +184,11 @@ ORACLE["p3_trailing"] = _P3 + "select c as ts_code, strftime(day, '%Y%m%d') as t
 ) + " from f window w7 as (partition by c order by day rows 6 preceding), w30 as (partition by c order by day rows 29 preceding)"
 
 
+ORACLE["p3_corrected"] = _P3.replace("coalesce(v[1], 0.0) as x", "v[1] as x") + "select c as ts_code, strftime(day, '%Y%m%d') as trade_date, " + ", ".join(
+    f"round(sum(x) over w{w}, 4) + 0.0 as turnover_{w}d, count(x0) over w{w} as bars_{w}d" for w in (7, 30)
+) + " from f window w7 as (partition by c order by day rows 6 preceding), w30 as (partition by c order by day rows 29 preceding)"
+
+
 # 4. irregular readings onto a regular grid
 
 

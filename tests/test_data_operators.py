@@ -89,6 +89,8 @@ def test_orphans(spark):
     for rows in (400_000, 2):
         got = find_orphans(r, parents, key=F.col("k"), parent_key=F.col("k"), at=F.col("t"), alive_from=F.col("f"), alive_to=F.col("t"), share_rows=rows)
         assert sorted(x.id for x in got.collect()) == [1, 4, 7, 9, 10, 10] and got.columns == r.columns
+    held = find_orphans(r, parents, key=F.col("k"), parent_key=F.col("k"), at=F.col("t"), alive_from=F.col("f"), alive_to=F.col("t"), fixed=True)
+    assert sorted(x.id for x in held.collect()) == [1, 4, 7, 9, 10, 10]
     none = find_orphans(r, parents.limit(0), key=F.col("k"), parent_key=F.col("k"))
     assert none.count() == 12 and find_orphans(r.limit(0), parents, key=F.col("k"), parent_key=F.col("k")).count() == 0
 
@@ -102,6 +104,17 @@ def test_orphans_against_brute_force(spark):
     assert sorted(x.id for x in got.collect()) == want
 
 
+def test_more_ranges_than_a_case_tree_holds(spark):
+    """Far over 256 ranges, a key of many lifetimes, and a hot key whose range is shared out."""
+    par = spark.range(6000).select(F.format_string("k%05d", F.col("id") * 2).alias("k"), F.lit(0).cast("long").alias("f"), F.lit(None).cast("long").alias("t"))
+    many = spark.range(4000).select(F.lit("many").alias("k"), (F.col("id") * 10).alias("f"), (F.col("id") * 10 + 5 + F.col("id") % 2 * 5).alias("t"))
+    refs = spark.range(9000).select("id", F.when(F.col("id") % 3 == 0, "k00001").otherwise(F.format_string("k%05d", F.col("id"))).alias("k"), F.col("id").alias("t"))
+    refs = refs.union(spark.range(40_000).select(F.col("id") + 10_000, F.lit("many"), F.col("id")))
+    got = find_orphans(refs, par.union(many), key=F.col("k"), parent_key=F.col("k"), at=F.col("t"), alive_from=F.col("f"), alive_to=F.col("t"), range_keys=15, share_rows=3000)
+    want = {i for i in range(9000) if i % 3 == 0 or i % 2} | {10_000 + i for i in range(40_000) if i % 10 >= 5 and i // 10 % 2 == 0}
+    assert sorted(r.id for r in got.collect()) == sorted(want)
+
+
 # 3. rolling totals
 
 
@@ -145,7 +158,10 @@ def test_corrections_equal_a_rebuild(spark):
     whole = build_trees(spark.createDataFrame([(e, d, v + 7.5 if d == 19003 else v) for e, d, v in rows] + [("x", 19004, 2.0), ("new", 19000, 1.0)], df.schema), entity="e", day="d", value="v")
     tidy = lambda t: sorted((r.entity, r.shard, [round(x, 6) for x in r.sums], list(r.counts)) for r in t.collect())
     assert tidy(fixed) == tidy(whole)
-    got = {r.day: (round(r.total, 6), r.n) for r in query_trees(fixed.where("entity = 'x'"), 30).collect()}
+    answers = query_trees(fixed.where("entity = 'x'"), (7, 30)).collect()
+    got = {r.day: (round(r.total_30, 6), r.n_30) for r in answers}
+    week = brute_totals([(r.e, r.d, r.v) for r in df.collect() if r.d != 19003] + [("x", 19003, 8.5 + 2), ("x", 19004, 2.0)], 7)
+    assert all((round(r.total_7, 6), r.n_7) == week["x", r.day] for r in answers if ("x", r.day) in week)
     want = brute_totals([(r.e, r.d, r.v) for r in df.collect() if r.d != 19003] + [("x", 19003, 8.5 + 2), ("x", 19004, 2.0)], 30)
     assert all(got[d] == want["x", d] for _, d in want)
 
