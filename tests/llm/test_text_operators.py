@@ -3,10 +3,12 @@ from collections import Counter
 
 import pytest
 
-from strake.llm.leaks import Passages, aligned, find_leaks, words_of
+from strake.llm.leaks import Passages, find_leaks, words_of
 from strake.llm.packing import best_fit_decreasing, pack, pack_sizes
 from strake.llm.reading import fit_levels, language, read, reading_levels, syllables
 
+from .one_by_one import aligned, reproduced
+
 PASSAGE = (
     "Read the text and pick the best answer. The patient ferry of Orlunosk crossed a silent river before the northern miller "
     "opened every wooden gate. Another curious sailor described the lantern beside the ancient tower, while the gentle falcon "
@@ -75,7 +77,7 @@ def damage(words, seed):
 
 
 def shares(text):
-    return dict(Passages([(1, PASSAGE)]).search(text, 0.0))
+    return {i: s for _, i, s in Passages([(1, PASSAGE)], 0.0).search([text])}
 
 
 def test_leaks_found_whatever_was_done_to_the_text():
@@ -103,8 +105,77 @@ def test_leak_table(spark):
     got = find_leaks(docs, items).collect()
     assert sorted((r.item_id, r.doc_id, r.share) for r in got) == [(1, 1, 1.0), (1, 5, 1.0)]
     assert find_leaks(docs.limit(0), items).count() == 0 and find_leaks(docs, items.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        find_leaks(docs, items, max_items=1)
+    many = items.union(spark.createDataFrame([(10 + k, PASSAGE[40 * k :], "c") for k in range(4)], items.schema))
+    one, blocks = (sorted(map(tuple, find_leaks(docs, many, block_chars=n).collect())) for n in (10**6, 400))
+    assert one == blocks and {r[0] for r in one} == {1, 10, 11, 12, 13}
+
+
+def test_short_passages_count_as_whole_runs_of_words():
+    index = Passages([(1, PASSAGE), (2, "Blue moon!"), (3, "one extraordinarily uncharacteristic misunderstanding"), (4, "")], 0.4)
+    texts = ["a BLUE, moon rose", "a blue and a moon", "a bluemoon", "One <b>extraordinarily</b> uncharacteristic misunderstanding arose", "", "moon blue"]
+    assert [(k, i) for k, i, _ in index.search(texts)] == [(0, 2), (3, 3)]
+
+
+@pytest.mark.parametrize("window", [1 << 13, 300])
+def test_first_count_loses_nothing(monkeypatch, window):
+    """Against a search in which every pair of text and passage goes on to the regions, texts in one piece and in several."""
+    import pyarrow.parquet as pq
+
+    from strake.llm import leaks
+
+    monkeypatch.setattr(leaks, "WINDOW", window)
+    d = "/root/testdata/sf0.01"
+    items = list(zip(*(pq.read_table(f"{d}/eval_items.parquet").column(c).to_pylist() for c in ("item_id", "passage"))))
+    texts = [t for t in pq.read_table(f"{d}/documents.parquet").column("text").to_pylist() if t]
+    index, every = Passages(items, 0.4), Passages(items, 0.4)
+    every.sieve = False
+    got, want = list(index.search(texts)), list(every.search(texts))
+    assert sorted(got) == sorted(want) and len(got) > 10
+
+
+def test_batched_verification_equals_one_by_one():
+    """Every candidate's share, also of those that fall short, against the plain form."""
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.01"
+    items = list(zip(*(pq.read_table(f"{d}/eval_items.parquet").column(c).to_pylist() for c in ("item_id", "passage"))))
+    texts = [t for t in pq.read_table(f"{d}/documents.parquet").column("text").to_pylist() if t]
+    index, seen = Passages(items, 0.4), []
+    shares = index.verify.shares
+
+    def checked(item, cand, pos, at, text, lo, hi, least):
+        got, short = shares(item, cand, pos, at, text, lo, hi, 0.0), shares(item, cand, pos, at, text, lo, hi, least)
+        for c in range(len(item)):
+            mine = cand == c
+            want = reproduced(index.items[item[c]], text[lo[c] : hi[c]], pos[mine], at[mine] - lo[c], 0.0)
+            assert abs(want - got[c]) < 1e-12 and (abs(short[c] - want) < 1e-12 if want >= least else short[c] < least)
+            seen.append(want)
+        return short
+
+    index.verify.shares = checked
+    assert len(list(index.search(texts))) == np.sum(np.array(seen) >= 0.4) > 10 and len(seen) > 300
+
+
+def test_planted_passages_are_found():
+    """Recall over passages planted in part or whole, in one piece or two, with edits of every kind."""
+    import pyarrow.parquet as pq
+
+    d = "/root/testdata/sf0.01"
+    items = list(zip(*(pq.read_table(f"{d}/eval_items.parquet").column(c).to_pylist() for c in ("item_id", "passage"))))
+    fill = [t for t in pq.read_table(f"{d}/documents.parquet").column("text").to_pylist() if t and len(t) > 200][:100]
+    rnd, texts, planted = random.Random(4), [], set()
+    for n in range(400):
+        i, passage = rnd.choice(items)
+        w = passage.split()
+        size = int(len(w) * rnd.uniform(0.5, 1.0))
+        at = rnd.randrange(len(w) - size + 1)
+        piece = damage([x.translate({ord(c): None for c in ".,;"}) if rnd.random() < 0.3 else x for x in w[at : at + size]], n)
+        half = len(piece) // 2 if n % 2 else len(piece)
+        texts.append(" ".join([rnd.choice(fill), *piece[:half], *("Then again, my neighbour disagreed.".split() if n % 2 else []), *piece[half:], rnd.choice(fill)]))
+        planted.add((n, i))
+    got = {(k, i) for k, i, _ in Passages(items, 0.4).search(texts)}
+    assert len(got & planted) / len(planted) > 0.97, len(got & planted) / len(planted)
 
 
 def test_alignment_and_folding():
