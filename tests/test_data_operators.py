@@ -231,7 +231,8 @@ def test_profile_against_brute_force(spark, tmp_path, dictionary):
     rnd = random.Random(6)
     rows = [(1 + k // 40, rnd.choice([0.5, 0.25, -0.0, 0.0, None, float("nan"), float("inf"), 9.0]), 3.0 if k < 40 else None if k < 80 else rnd.random(), rnd.choice(["12345678", "bad", None]) if k >= 40 else "12345678") for k in range(160)]
     t = pa.table({"load": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.float64()), "c": pa.array([r[2] for r in rows], pa.float64()), "s": pa.array([r[3] for r in rows], pa.string())})
-    (tmp_path / "t.parquet").mkdir()
+    tmp_path = tmp_path / "a b"
+    (tmp_path / "t.parquet").mkdir(parents=True)
     for k in range(2):  # row groups of one load, and of two
         pq.write_table(t.slice(80 * k, 80), tmp_path / f"t.parquet/{k}.parquet", row_group_size=40 if k == 0 else 60, use_dictionary=dictionary)
     got = {(r.column_name, r.load_id): r for r in profile(spark, str(tmp_path / "t.parquet"), load="load", numeric={"x": (0.0, 1.0), "c": (0.0, 5.0)}, patterns={"s": "[0-9]{8}"}).collect()}
