@@ -1,4 +1,4 @@
-"""Small shared helpers: code spelling, finiteness, integer clocks, hot keys, checkpoints."""
+"""Small shared helpers: code spelling, finiteness, integer clocks, checkpoints."""
 
 from __future__ import annotations
 
@@ -46,37 +46,24 @@ def day_text(c: Column) -> Column:
     return F.date_format(F.date_from_unix_date(c), "yyyyMMdd")
 
 
-def hot_keys(df: DataFrame, key: str, share: int = 64, rows_per_task: int = 500_000) -> DataFrame:
-    """Keys that hold at least 1/share of all rows, with the number of salts each needs.
-
-    At most ``share`` keys can qualify, whatever the size of the data, so the result may be broadcast.
-    """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    return (
-        counts.crossJoin(F.broadcast(total))
-        .where((F.col("_n") * share >= F.col("_all")) & (F.col("_n") > rows_per_task))
-        .select(key, F.ceil(F.col("_n") / rows_per_task).cast("int").alias("_salts"))
-    )
-
-
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage in the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which all executors share.
 
     Where none is named, a folder of this machine will do for local masters only; on a cluster executors couldn't share it.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    at = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not at:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        at = tempfile.mkdtemp(prefix="strake-checkpoint-")
+        atexit.register(shutil.rmtree, at, True)
     if sc.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not at:
-            if not sc.master.startswith("local[") and sc.master != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            at = tempfile.mkdtemp(prefix="strake-checkpoint-")
-            atexit.register(shutil.rmtree, at, True)
         sc.setCheckpointDir(at)
-    return df.checkpoint(eager)
+    return at
 
 
-def partitions(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager)

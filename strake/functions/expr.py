@@ -130,6 +130,8 @@ def compile_text(text: str, columns: Iterable[str], kind: str = "panel") -> Colu
 
 @dataclass
 class FactorSpec:
+    """A factor of a library; the names are those of the library's JSON format."""
+
     name: str
     expression: str
     sign: int = 1
@@ -164,3 +166,24 @@ class FactorLibrary:
         for k in range(0, len(self.factors), batch):
             df = df.withColumns({s.name: (finite(compile_text(s.expression, self.field_names, self.kind)) * s.sign).cast("float") for s in self.factors[k : k + batch]})
         return df
+
+    def export_script(self, path: str) -> None:
+        """A script that adds the factors to a parquet table: ``spark-submit script.py IN OUT``."""
+        text = json.dumps(json.dumps(asdict(self)))
+        with open(path, "w") as f:
+            f.write(_SCRIPT.replace("LIBRARY_JSON", text))
+
+
+_SCRIPT = '''"""Adds the factors of a library to a parquet table: script.py IN OUT"""
+import json
+import sys
+
+from pyspark.sql import SparkSession
+
+from strake.functions.expr import FactorLibrary, FactorSpec
+
+raw = json.loads(LIBRARY_JSON)
+library = FactorLibrary([FactorSpec(**x) for x in raw.pop("factors")], **raw)
+spark = SparkSession.builder.getOrCreate()
+library.apply(spark.read.parquet(sys.argv[1])).write.mode("overwrite").parquet(sys.argv[2])
+'''

@@ -12,14 +12,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ops as o
-from .metrics import daily_auc, daily_ic, pearson, ratio
+from .metrics import daily_gini, daily_ic, pearson, ratio, summarize_ic
 
 #: Fixed values of the integer hash: a multiplicative congruence followed by two squarings, exact in 64 bits.
 PRIME, A_KEY, A_PERM, A_DATE = 2147483647, 48271, 69621, 16807
 
 
-def residualize(df: DataFrame, y: str, xs: list[str], name: str = "residual") -> DataFrame:
-    """Adds each date's least-squares residual of y on an intercept and xs, over complete rows; NULL elsewhere, and where
+def residualize(df: DataFrame, y: str, xs: list[str], name: str = "residual", by: tuple[str, ...] = ("t",)) -> DataFrame:
+    """Adds each date's (or group's, ``by``) least-squares residual of y on an intercept and xs, over complete rows; NULL elsewhere, and where
     the xs explain a date's y wholly.
 
     Only the sums of products leave the rows: a date's small normal equations are solved by pseudo-inverse, and the
@@ -28,11 +28,11 @@ def residualize(df: DataFrame, y: str, xs: list[str], name: str = "residual") ->
     cols = ["_1", *xs]
     full = df.withColumn("_1", F.lit(1.0)).withColumn("_ok", F.lit(True))
     for c in (y, *xs):
-        full = full.withColumn("_ok", F.col("_ok") & F.col(c).isNotNull())
-    v = {c: F.when(F.col("_ok"), F.col(c).cast("double")) for c in (*cols, y)}
+        full = full.withColumn("_ok", F.col("_ok") & F.col(f"`{c}`").isNotNull())
+    v = {c: F.when(F.col("_ok"), F.col(f"`{c}`").cast("double")) for c in (*cols, y)}
     gram = F.array(*[F.coalesce(F.sum(v[a] * v[b]), F.lit(0.0)) for a in cols for b in cols])
     right = F.array(*[F.coalesce(F.sum(v[a] * v[y]), F.lit(0.0)) for a in cols])
-    sums = full.groupBy("t").agg(gram.alias("g"), right.alias("r"), F.coalesce(F.sum(v[y] * v[y]), F.lit(0.0)).alias("yy"))
+    sums = full.groupBy(*by).agg(gram.alias("g"), right.alias("r"), F.coalesce(F.sum(v[y] * v[y]), F.lit(0.0)).alias("yy"))
     k = len(cols)
 
     def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -44,11 +44,27 @@ def residualize(df: DataFrame, y: str, xs: list[str], name: str = "residual") ->
                 c = np.linalg.pinv(g / np.outer(scale, scale), rcond=1e-12, hermitian=True) @ (r / scale) / scale
                 coef.append(c.tolist())
                 left.append(bool(yy - c @ r > 1e-12 * yy))
-            yield pd.DataFrame({"t": f["t"], "_c": coef, "_left": left})
+            yield f[list(by)].assign(_c=coef, _left=left)
 
-    solved = sums.mapInPandas(solve, "t int, _c array<double>, _left boolean")
-    fit = sum((F.col("_c")[i] * F.col(c) for i, c in enumerate(cols)), F.lit(0.0))
-    return full.join(solved, "t").withColumn(name, F.when(F.col("_ok") & F.col("_left"), F.col(y) - fit)).select(*df.columns, name)
+    kinds = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in by)
+    solved = sums.mapInPandas(solve, f"{kinds}, _c array<double>, _left boolean")
+    fit = sum((F.col("_c")[i] * F.col(f"`{c}`") for i, c in enumerate(cols)), F.lit(0.0))
+    return full.join(solved, list(by)).withColumn(name, F.when(F.col("_ok") & F.col("_left"), F.col(y) - fit)).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
+def style_design(df: DataFrame, styles: list[str], category: str | None = None, most: int = 64) -> tuple[DataFrame, list[str]]:
+    """df with the design's columns, and their names: standardized styles, and a 0/1 column for all levels of the category
+    but the first. The columns are NULL in rows that lack a style or the category."""
+    names = [f"z_{c}" for c in styles]
+    out = df.withColumns({n: o.cs_zscore(F.col(c), 1) for n, c in zip(names, styles)})
+    if category:
+        levels = sorted(r[0] for r in df.select(category).where(F.col(category).isNotNull()).distinct().limit(most + 1).collect())
+        if len(levels) > most:
+            raise ValueError(f"{category} has more than {most} levels")
+        for v in levels[1:]:
+            names.append(f"{category}={v}")
+            out = out.withColumn(names[-1], (F.col(category) == v).cast("double"))
+    return out, names
 
 
 def rank_residual(df: DataFrame, y: str, xs: list[str]) -> DataFrame:
@@ -135,18 +151,29 @@ def placebo_null(df: DataFrame, factors: list[str], y: str, key: str, perms: int
     return per.groupBy("perm").agg(*[F.max(c).alias(c) for c in ("ic_mean", "icir", "gini")])
 
 
+def factor_metrics(df: DataFrame, factors: list[str], y: str) -> DataFrame:
+    """(factor, ic_mean, icir, gini): each factor's metrics over the dates, signed."""
+    long = df.select("t", "code", F.col(y).alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in factors])))
+    ic = summarize_ic(daily_ic(long, "x", "y", by=("factor",)), by=("factor",)).select("factor", "ic_mean", "icir")
+    return ic.join(daily_gini(long, "x", by=("factor",)).groupBy("factor").agg(F.avg("gini").alias("gini")), "factor")
+
+
 def null_quantiles(null: DataFrame) -> DataFrame:
     """(metric, p95, p99, p999) of a null distribution, linear between its values."""
     one = lambda c: F.struct(F.lit(c).alias("metric"), *[F.percentile(c, p).alias(n) for n, p in (("p95", 0.95), ("p99", 0.99), ("p999", 0.999))])
     return null.agg(*[one(c).alias(c) for c in ("ic_mean", "icir", "gini")]).select(F.inline(F.array("ic_mean", "icir", "gini")))
 
 
-def grade(metrics: DataFrame, quantiles: DataFrame) -> DataFrame:
-    """Adds level (0..3: thresholds passed by the weakest of the factor's metrics) and eligible (all above p99)."""
+def grade(metrics: DataFrame, quantiles: DataFrame, formal: list[str] | None = None) -> DataFrame:
+    """Adds level (0..3: thresholds passed by the weakest of the factor's metrics) and eligible (all above p99).
+
+    ``formal`` are the factors that the thresholds were made from; others are graded but never eligible. None: all are formal.
+    """
     long = metrics.select("factor", F.inline(F.array(*[F.struct(F.lit(c).alias("metric"), F.abs(c).alias("v")) for c in ("ic_mean", "icir", "gini")])))
     level = F.when(F.col("v") > F.col("p999"), 3).when(F.col("v") > F.col("p99"), 2).when(F.col("v") > F.col("p95"), 1).otherwise(0)
     g = long.join(F.broadcast(quantiles), "metric").groupBy("factor").agg(F.min(level).alias("level"))  # three rows
-    return metrics.join(g, "factor").withColumn("eligible", F.col("level") >= 2)
+    named = F.lit(True) if formal is None else F.col("factor").isin(formal)
+    return metrics.join(g, "factor").withColumn("eligible", (F.col("level") >= 2) & named)
 
 
 def block_index(spark, n: int, block: int, reps: int, seed: int = 7) -> DataFrame:

@@ -59,6 +59,20 @@ def outcome_complete(lo: int, hi: int, horizon: int) -> tuple[int, int]:
     return lo, max(lo, hi - horizon)
 
 
+def exit_before(df: DataFrame, cal: DataFrame, horizon: int, end: str) -> DataFrame:
+    """df's rows whose exit, ``horizon`` sessions after t, is on the calendar (t, trade_date) and not after ``end``, with
+    exit_date."""
+    days = cal.select((F.col("t") - horizon).alias("t"), F.col("trade_date").alias("exit_date"))
+    return df.join(F.broadcast(days), "t").where(F.col("exit_date") <= end)
+
+
+def search_window(n: int, days: int) -> tuple[int, int]:
+    """The first ``days`` of n dates, which a search may look at."""
+    if days < 1:
+        raise ValueError("a search needs a date")
+    return 0, min(n, days)
+
+
 def fit_selection(lo: int, hi: int, share: float = 0.8, embargo: int = 2, least: int = 20) -> tuple[tuple[int, int], tuple[int, int]]:
     """The earlier dates to fit on and, after an embargo, the later ones to select on."""
     cut = lo + int(share * (hi - lo))

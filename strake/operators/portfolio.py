@@ -32,16 +32,18 @@ def net_return(gross: Column, buy: float | Column, sell: float | Column) -> Colu
     return (1 + gross) * (1 - sell) / (1 + buy) - 1
 
 
-def backtest(df: DataFrame, score: str, ret: str, y: str, k: int, buy: float = 0.0, sell: float = 0.0, overlap: int = 1) -> DataFrame:
+def backtest(df: DataFrame, score: str, ret: str, y: str, k: int, buy: float = 0.0, sell: float = 0.0, overlap: int = 1, target: float | None = None) -> DataFrame:
     """(t, n_available, n_executed, hit_rate, base_rate, gross_return, net_return, portfolio_return) of dates with k names.
 
-    Whether a pick is executed (its return is there) is known only after the pick.
+    Whether a pick is executed (its return is there) is known only after the pick. With ``target`` a pick that hit (y > 0) was
+    sold at that gain, any other at the close.
     """
     done = (F.col("rank") <= k) & F.col(ret).isNotNull()
-    net = net_return(F.col(ret), buy, sell)
+    gross = F.col(ret) if target is None else F.when(F.col(y) > 0, F.lit(target)).otherwise(F.col(ret))
+    net = net_return(gross, buy, sell)
     day = ranked(df, score).groupBy("t").agg(
         F.count("rank").alias("n_available"), F.count_if(done).alias("n_executed"), F.avg(F.when(done, F.col(y))).alias("hit_rate"), F.avg(F.when(F.col("rank").isNotNull(), F.col(y))).alias("base_rate"),
-        F.avg(F.when(done, F.col(ret))).alias("gross_return"), F.avg(F.when(done, net)).alias("net_return"), (F.coalesce(F.sum(F.when(done, net)), F.lit(0.0)) / k / overlap).alias("portfolio_return"),
+        F.avg(F.when(done, gross)).alias("gross_return"), F.avg(F.when(done, net)).alias("net_return"), (F.coalesce(F.sum(F.when(done, net)), F.lit(0.0)) / k / overlap).alias("portfolio_return"),
     )
     return day.where(F.col("n_available") >= k)
 

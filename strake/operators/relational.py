@@ -44,13 +44,18 @@ def join_one(left: DataFrame, right: DataFrame, keys: list[str], how: str = "lef
     return left.join(assert_unique(right, keys), keys, how)
 
 
-def interval_any(df: DataFrame, intervals: DataFrame, *, key: str, at: str, start: str, end: str, flag: Column, name: str) -> DataFrame:
+def interval_any(df: DataFrame, intervals: DataFrame, *, key: str, at: str, start: str, end: str, flag: Column, name: str, current: DataFrame | None = None) -> DataFrame:
     """Adds whether any interval of the key in effect at ``at`` (start <= at <= end, open where end is NULL) has the flag;
-    false without one. The flag is reduced before the join, so that only flagged intervals are joined."""
+    false without one. The flag is reduced before the join, so that only flagged intervals are joined. ``current`` (key and a
+    boolean of the given name) stands in for keys that have no interval at all."""
     on = intervals.where(flag).select(F.col(key).alias("_k"), F.col(start).alias("_s"), F.col(end).alias("_e"))
     inside = (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_s")) & (F.col("_e").isNull() | (F.col(at) <= F.col("_e")))
     pairs = df.select(key, at).distinct().join(on, inside, "left_semi").withColumn(name, F.lit(True))
-    return df.join(pairs, [key, at], "left").fillna(False, [name])
+    out = df.join(pairs, [key, at], "left")
+    if current is not None:
+        alone = current.where(name).select(key).distinct().join(intervals.select(key), key, "left_anti").withColumn("_alone", F.lit(True))
+        out = out.join(alone, key, "left").withColumn(name, F.coalesce(name, "_alone")).drop("_alone").select(*df.columns, name)
+    return out.fillna(False, [name])
 
 
 def interval_one(df: DataFrame, intervals: DataFrame, *, key: str, at: str, start: str, end: str, value: str) -> DataFrame:
@@ -61,6 +66,19 @@ def interval_one(df: DataFrame, intervals: DataFrame, *, key: str, at: str, star
     return df.join(cells, [key, at], "left").withColumns({value: F.when(F.col("n_active") == 1, F.col("_v")), "n_active": F.coalesce("n_active", F.lit(0))}).drop("_v")
 
 
+def in_listing(df: DataFrame, listings: DataFrame, cal: DataFrame, *, start: str, end: str, days: int, name: str = "listed") -> DataFrame:
+    """Adds whether t is at least ``days`` sessions after the first session on or after the listing's start and its date before
+    the end (open where NULL); false for codes without a listing or a start. listings: a row a code; cal: (t, trade_date)."""
+    dates = cal.select(F.col("trade_date").alias("_d"), F.col("t").alias("_t0"))
+    first = W.orderBy("_d").rowsBetween(0, W.unboundedFollowing)
+    # the first session on or after each day that is some listing's start
+    starts = listings.where(F.col(start).isNotNull()).select(F.col(start).alias("_d")).distinct().join(dates, "_d", "left").unionByName(dates).distinct()
+    starts = starts.withColumn("_t0", F.first("_t0", ignorenulls=True).over(first)).dropDuplicates(["_d"])  # a row a day of the calendar
+    own = listings.select("code", F.col(start).alias("_d"), F.col(end).alias("_e")).join(starts, "_d").select("code", "_t0", "_e")
+    mask = F.coalesce((F.col("t") >= F.col("_t0") + days) & (F.col("_e").isNull() | (F.col("trade_date") < F.col("_e"))), F.lit(False))
+    return df.join(own, "code", "left").withColumn(name, mask).select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def at_offset(df: DataFrame, lookup: DataFrame, h: Column, cols: list[str]) -> DataFrame:
     """Looks ``cols`` up h sessions after t, by (code, t + h); the names get the suffix ``_h``."""
     right = lookup.select("code", F.col("t").alias("_t"), *[F.col(c).alias(f"{c}_at") for c in cols])
@@ -91,13 +109,12 @@ def upsert(existing: DataFrame, incoming: DataFrame, by: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, by: list[str]) -> DataFrame:
-    """(by, rows, digest): sha256 of the group's rows whatever their order. Rows are hashed, hashes of a bucket joined in
-    order and hashed, and so the buckets, so that no task holds a group's rows."""
+    """(by, rows, digest): of a group's rows whatever their order. Rows are hashed (sha256), the hashes' eight words summed
+    and the sums hashed, so that partial sums are all that leaves a task and no group is gathered."""
     text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(df.columns)])
-    h = df.withColumn("_h", F.sha2(text, 256)).withColumn("_b", F.substring("_h", 1, 3))
-    bucket = h.groupBy(*by, "_b").agg(F.sha2(F.concat_ws(",", F.sort_array(F.collect_list("_h"))), 256).alias("_d"), F.count(F.lit(1)).alias("_n"))
-    joined = F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("_b", "_d"))), lambda x: x["_d"]))
-    return bucket.groupBy(*by).agg(F.sum("_n").alias("rows"), F.sha2(joined, 256).alias("digest"))
+    h = df.withColumn("_h", F.sha2(text, 256))
+    words = [F.sum(F.conv(F.substring("_h", 1 + 8 * i, 8), 16, 10).cast("bigint")) for i in range(8)]
+    return h.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.sha2(F.concat_ws(",", *[w.cast("string") for w in words]), 256).alias("digest"))
 
 
 def top_liquid(df: DataFrame, amount: str, n: int) -> DataFrame:

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import finite, norm_code, plain_date, table
+from ..common import finite, norm_code, plain_date, shared_folder, table
 from ..functions import ops as o
 from ..operators import audits as a
 from ..operators import labels as lb
 from ..operators import metrics as m
 from ..operators import portfolio as p
 from ..operators import relational as r
-from ..operators.search import search
+from ..operators.search import mine, search
 from ..sources.lineage import Audit, violations
-from ..sources.panel import EVENT_FIELDS, EVENT_SQL, PANEL_SQL, bar_panel, bars, calendar, event_table
+from ..sources.panel import EVENT_FIELDS, EVENT_SQL, FINAL_SQL, PANEL_SQL, bar_panel, bars, calendar, event_table
+from ..sources.store import Store, TableSpec
 from .panel_queries import _BT, FRAMES, _book, ic_sql, pdiv, r6, ranked_sql, rounded
 
 QUERIES: dict = {}
@@ -61,11 +64,9 @@ select e.trade_date, e.code, coalesce(e.t >= x.t0 + 20 and e.trade_date < x.d, f
 def listing_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the code had been listed for twenty sessions and not delisted."""
     last = F.max(F.struct("loaded_at", F.coalesce("list_date", F.lit("")).alias("l"), F.coalesce("delist_date", F.lit("99999999")).alias("d")))
-    s = table(spark, sf_dir, "stock_basic").groupBy(norm_code("ts_code").alias("code")).agg(last.alias("m")).select("code", F.nullif("m.l", F.lit("")).alias("_l"), F.col("m.d").alias("_d"))
-    cal = calendar(spark, sf_dir)
-    first = s.join(F.broadcast(cal), F.col("trade_date") >= F.col("_l")).groupBy("code", "_d").agg(F.min("t").alias("_t0"))
-    e = event_table(spark, sf_dir).select("t", "trade_date", "code").join(first, "code", "left")
-    return e.select("trade_date", "code", F.coalesce((F.col("t") >= F.col("_t0") + 20) & (F.col("trade_date") < F.col("_d")), F.lit(False)).alias("listed"))
+    s = table(spark, sf_dir, "stock_basic").groupBy(norm_code("ts_code").alias("code")).agg(last.alias("m")).select("code", F.nullif("m.l", F.lit("")).alias("start"), F.col("m.d").alias("end"))
+    e = event_table(spark, sf_dir).select("t", "trade_date", "code")
+    return r.in_listing(e, s, calendar(spark, sf_dir), start="start", end="end", days=20).drop("t")
 
 
 @query(PANEL_SQL + "select b.trade_date, b.code, " + r6("b.close", "close") + ", " + r6("x.close", "close_at") + " from bars b left join bars x on x.code = b.code and x.t = b.t + 3")
@@ -98,15 +99,6 @@ def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.conflicts(table(spark, sf_dir, "daily").select(norm_code("ts_code").alias("code"), "trade_date", "raw_close", "vol"), ["code", "trade_date"])
 
 
-@query("with b as (select * from daily where trade_date < '20230101'), i as (select * replace (raw_close + 1 as raw_close) from daily where trade_date >= '20221201' and trade_date < '20230201') select trade_date, count(*) as n, " + r6("sum(raw_close)", "total", 4) + " from (select * from b where trade_date not in (select trade_date from i) union all select * from i) group by 1")
-def upsert_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A delivery replaces the stored rows of its dates; a store that ends with 2022. upsert_all_dates has the whole table."""
-    d = table(spark, sf_dir, "daily")
-    old, new = d.where("trade_date < '20230101'"), d.where("trade_date >= '20221201' and trade_date < '20230201'").withColumn("raw_close", F.col("raw_close") + 1)
-    u = r.upsert(old, new, "trade_date").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.sum("raw_close").alias("total"))
-    return rounded(u, ["trade_date", "n"], 4)
-
-
 @query("with i as (select * replace (raw_close + 1 as raw_close) from daily where trade_date >= '20221201' and trade_date < '20230201') select * from daily where trade_date is null or trade_date not in (select trade_date from i) union all select * from i")
 def upsert_all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole daily table after a delivery of two months has replaced their rows."""
@@ -115,16 +107,29 @@ def upsert_all_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.upsert(d, new, "trade_date")
 
 
+@query("with i as (select * replace (raw_close + 1 as raw_close) from daily where trade_date >= '20221201' and trade_date < '20230201'), u as (select * from daily where trade_date not in (select trade_date from i) union all select * from i) select trade_date, count(*) as n, count(*) filter (where isfinite(vol)) as n_vol, " + r6("sum(raw_close) filter (where isfinite(raw_close))", "total", 3) + " from u where trade_date is not null group by 1")
+def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily table in a store of its own, a delivery of two months written into it twice, read back by date."""
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    spec = TableSpec("daily", ("bar_id", "ts_code", "trade_date", "raw_close", "vol"), frozenset({"raw_close", "vol"}), "trade_date")
+    d = table(spark, sf_dir, "daily").select(*spec.columns)
+    new = d.where("trade_date >= '20221201' and trade_date < '20230201'").withColumn("raw_close", F.col("raw_close") + 1)
+    for delivery in (d, new, new):
+        store.append_dated(spec, delivery)
+    x = store.read_dated(spec, "00000000", "99999999").groupBy("trade_date").agg(F.count(F.lit(1)).alias("n"), F.count("vol").alias("n_vol"), F.sum("raw_close").alias("total"))
+    return rounded(x, ["trade_date", "n", "n_vol"], 3)
+
+
 @query(EVENT_SQL + "select t, code, row_number() over (partition by t order by code) - 1 as slot from e")
 def event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every row in its date."""
     return r.slots(event_table(spark, sf_dir)).select("t", "code", F.col("slot").cast("bigint").alias("slot"))
 
 
-@query(EVENT_SQL + "select field, count(*) as cells, count(v) as filled, " + r6("avg(v)", "mean") + " from (select 'feat_a' as field, feat_a as v from e union all select 'feat_b', feat_b from e union all select 'feat_c', feat_c from e) group by 1")
+@query(EVENT_SQL + "select field, count(*) as cells, count(v) as filled, " + r6("avg(v)", "mean") + " from (" + " union all ".join(f"select '{c}' as field, {c} as v from e" for c in EVENT_FIELDS) + ") group by 1")
 def event_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide to long: a row a cell and field, summarized."""
-    long = event_table(spark, sf_dir).unpivot(["t", "code"], ["feat_a", "feat_b", "feat_c"], "field", "v")
+    long = event_table(spark, sf_dir).unpivot(["t", "code"], list(EVENT_FIELDS), "field", "v")
     return rounded(long.groupBy("field").agg(F.count(F.lit(1)).alias("cells"), F.count("v").alias("filled"), F.avg("v").alias("mean")), ["field", "cells", "filled"])
 
 
@@ -138,8 +143,8 @@ def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.groupBy("t").agg(*[F.sum(f"strategy_name={v}").cast("bigint").alias(v) for v in _LEVELS])
 
 
-@query(PANEL_SQL + """, h as (select trade_date, sha256(concat_ws('|', code, trade_date, cast(cast(vol as bigint) as varchar))) as h from bars where vol is not null), b as (select trade_date, substr(h, 1, 3) as b, sha256(string_agg(h, ',' order by h)) as d, count(*) as n from h group by 1, 2)
-select trade_date, cast(sum(n) as bigint) as rows, sha256(string_agg(d, ',' order by b)) as digest from b group by 1""")
+@query(PANEL_SQL + """, h as (select trade_date, sha256(concat_ws('|', code, trade_date, cast(cast(vol as bigint) as varchar))) as h from bars where vol is not null)
+select trade_date, count(*) as rows, sha256(concat_ws(',', """ + ", ".join(f"cast(sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint) as varchar)" for i in range(8)) + ")) as digest from h group by 1")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of every date's bars, whatever the order of the rows."""
     b = bars(spark, sf_dir).where("vol is not null").select("code", "trade_date", F.col("vol").cast("bigint").alias("vol"))
@@ -182,19 +187,19 @@ def lineage_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # labels and splits
 
-_TOUCH = PANEL_SQL + f""", l as (select *, lead(open_h) over wt as entry, lead(high_h, 2) over wt as high2, lead(close_h, 2) over wt as exit, coalesce(lead(is_trading) over wt, false) and coalesce(lead(is_trading, 2) over wt, false) and coalesce(lead(open_h) over wt > 0, false) and lead(high_h, 2) over wt is not null as valid from panel {FRAMES})"""
+_TOUCH = FINAL_SQL + f""", l as (select *, lead(open_h) over wt as entry, lead(high_h, 2) over wt as high2, lead(close_h, 2) over wt as exit, coalesce(lead(is_trading) over wt, false) and coalesce(lead(is_trading, 2) over wt, false) and coalesce(lead(open_h) over wt > 0, false) and lead(high_h, 2) over wt is not null as valid from panel {FRAMES})"""
 
 
 @query(_TOUCH + "select trade_date, code, valid, " + r6("entry", "entry_price") + ", " + r6("exit", "exit_price") + ", cast(case when valid then case when high2 >= entry * 1.03 then 1 else 0 end end as double) as y from l")
 def touch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the high two sessions on reaches the next open plus three per cent; NULL where unobservable."""
-    return rounded(lb.touch_label(bar_panel(spark, sf_dir), 1.03).select("trade_date", "code", "valid", "entry_price", "exit_price", "y"), ["trade_date", "code", "valid"])
+    return rounded(lb.touch_label(bar_panel(spark, sf_dir, hindsight=True), 1.03).select("trade_date", "code", "valid", "entry_price", "exit_price", "y"), ["trade_date", "code", "valid"])
 
 
 @query(_TOUCH + "select substr(trade_date, 1, 6) as month, count(*) as cells, count(*) filter (where valid) as n_valid, round(avg(case when valid then case when high2 >= entry * 1.03 then 1.0 else 0.0 end end), 6) + 0.0 as base_rate from l group by 1")
 def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of touches among the observable cells, by month."""
-    x = lb.touch_label(bar_panel(spark, sf_dir), 1.03).groupBy(F.substring("trade_date", 1, 6).alias("month"))
+    x = lb.touch_label(bar_panel(spark, sf_dir, hindsight=True), 1.03).groupBy(F.substring("trade_date", 1, 6).alias("month"))
     return rounded(x.agg(F.count(F.lit(1)).alias("cells"), F.count_if("valid").alias("n_valid"), F.avg("y").alias("base_rate")), ["month", "cells", "n_valid"])
 
 
@@ -296,12 +301,12 @@ def event_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(e.select("t", "code", (F.col("score") - F.lag("score").over(o.along())).alias("jump")), ["t", "code"])
 
 
-_EXR = PANEL_SQL + ", x as (select *, case when adj is not null and lag(adj) over (partition by code order by t) is not null then abs(adj - lag(adj) over (partition by code order by t)) > 1e-12 end as ex_right from panel), h as (select *, bool_or(ex_right) over (partition by code order by t rows between 1 following and 2 following) as in_window, lead(close, 2) over (partition by code order by t) / lead(open) over (partition by code order by t) - 1 as raw, lead(close_h, 2) over (partition by code order by t) / lead(open_h) over (partition by code order by t) - 1 as hfq from x)"
+_EXR = FINAL_SQL + ", x as (select *, case when adj is not null and lag(adj) over (partition by code order by t) is not null then abs(adj - lag(adj) over (partition by code order by t)) > 1e-12 end as ex_right from panel), h as (select *, bool_or(ex_right) over (partition by code order by t rows between 1 following and 2 following) as in_window, lead(close, 2) over (partition by code order by t) / lead(open) over (partition by code order by t) - 1 as raw, lead(close_h, 2) over (partition by code order by t) / lead(open_h) over (partition by code order by t) - 1 as hfq from x)"
 
 
 def _ex_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev = o.delay(F.col("adj"), 1)
-    x = bar_panel(spark, sf_dir).withColumn("ex_right", F.when(F.col("adj").isNotNull() & prev.isNotNull(), F.abs(F.col("adj") - prev) > 1e-12))
+    x = bar_panel(spark, sf_dir, hindsight=True).withColumn("ex_right", F.when(F.col("adj").isNotNull() & prev.isNotNull(), F.abs(F.col("adj") - prev) > 1e-12))
     ret = lambda c, e: o.div(o.lead(F.col(c), 2), o.lead(F.col(e), 1)) - 1
     return x.withColumns({"in_window": F.bool_or("ex_right").over(o.along().rowsBetween(1, 2)), "raw": ret("close", "open"), "hfq": ret("close_h", "open_h")})
 
@@ -317,7 +322,7 @@ def exright_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # deferred exits
 
 _DOWN = "round_even(pre_close * 90, 0) / 100"
-_EXIT_SQL = PANEL_SQL + f""", f as (select *, {_DOWN} as dl, is_trading and pre_close is not null as live from panel),
+_EXIT_SQL = FINAL_SQL + f""", f as (select *, {_DOWN} as dl, is_trading and pre_close is not null as live from panel),
 g as (select *, live and coalesce(abs(high - dl) <= 0.005, false) and coalesce(abs(close - dl) <= 0.005, false) as sealed from f),
 s as (select *, case when live and not sealed and high is not null and close is not null and close_h is not null then {{'t': t, 'price': close_h, 'kind': 'touch_close'}} end as at_touch,
   case when live and coalesce(open > dl + 0.005, false) and open_h is not null then {{'t': t, 'price': open_h, 'kind': 'open'}} when live and coalesce(close > dl + 0.005, false) and close_h is not null then {{'t': t, 'price': close_h, 'kind': 'close'}} end as later,
@@ -329,7 +334,7 @@ x as (select t, trade_date, code, last, coalesce(lead(at_touch, 2) over wt, firs
 @query(_EXIT_SQL + "select x.trade_date, x.code, ex.t as exit_t, round(ex.price, 6) + 0.0 as exit_price, ex.kind as exit_kind, touch_sealed, coalesce(z.halts > h1, false) as met_suspension, coalesce(z.blinds > b1, false) as met_missing_limit from x left join s z on z.code = x.code and z.t = case when x.t + 2 <= x.last then coalesce(ex.t, x.last) end")
 def realistic_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sale of a position bought next session: two sessions on, or later if sealed at the limit or halted."""
-    x = bar_panel(spark, sf_dir).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
+    x = bar_panel(spark, sf_dir, hindsight=True).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
     return rounded(p.deferred_exit(x).select("trade_date", "code", "exit_t", "exit_price", "exit_kind", "touch_sealed", "met_suspension", "met_missing_limit"), ["trade_date", "code", "exit_t", "exit_kind", "touch_sealed", "met_suspension", "met_missing_limit"])
 
 
@@ -372,13 +377,13 @@ def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(x.agg(F.avg("mean").alias("mean"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("std"), F.count("mean").alias("n")), ["n"], 8)
 
 
-@query(EVENT_SQL + PANEL_SQL.replace("\nwith cal as (select cast(row_number() over (order by trade_date) - 1 as int) as t, trade_date from (select distinct cal_date as trade_date from trade_cal where is_open = 1)),", ",", 1) + """, f as (select e.t, e.code, h, score as x, z.close_h / case when abs(b.close_h) >= 1e-9 then b.close_h end - 1 as y from e left join panel b on b.code = e.code and b.t = e.t cross join (select unnest(generate_series(1, 5)) as h) left join panel z on z.code = e.code and z.t = e.t + h),
+@query(EVENT_SQL + FINAL_SQL.replace("\nwith cal as (select cast(row_number() over (order by trade_date) - 1 as int) as t, trade_date from (select distinct cal_date as trade_date from trade_cal where is_open = 1)),", ",", 1) + """, f as (select e.t, e.code, h, score as x, z.close_h / case when abs(b.close_h) >= 1e-9 then b.close_h end - 1 as y from e left join panel b on b.code = e.code and b.t = e.t cross join (select unnest(generate_series(1, 10)) as h) left join panel z on z.code = e.code and z.t = e.t + h),
 j as (select * from f where x is not null and y is not null), r as (select h, t, cast(row_number() over (partition by h, t order by x, code) as double) as a, cast(row_number() over (partition by h, t order by y, code) as double) as b from j),
 s as (select h, t, count(*) as n, sum(a * b) - sum(a) * sum(b) / count(*) as c, sum(a * a) - sum(a) * sum(a) / count(*) as va, sum(b * b) - sum(b) * sum(b) / count(*) as vb from r group by h, t)
 select cast(h as int) as h, round(avg(c / sqrt(va * vb)), 6) + 0.0 as ic_mean, count(*) as n_days from s where n >= 5 and va > 1e-12 and vb > 1e-12 group by h""")
 def horizon_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean rank IC of the score against returns of one to five sessions."""
-    fwd = a.horizon_returns(event_table(spark, sf_dir).select("t", "code", "score"), bar_panel(spark, sf_dir), 5)
+    """Mean rank IC of the score against returns of one to ten sessions."""
+    fwd = a.horizon_returns(event_table(spark, sf_dir).select("t", "code", "score"), bar_panel(spark, sf_dir, hindsight=True))
     ic = m.daily_ic(fwd, "score", "fwd", by=("h",)).where("ic is not null")
     return rounded(ic.groupBy("h").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_days")), ["h", "n_days"])
 
@@ -425,14 +430,15 @@ def rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query()
-def style_neutral_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The score's residual on trailing styles: its remaining exposure to each, and the book it makes; no SQL, as the
-    normal equations of several styles are solved per date."""
+def style_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest remaining correlation of the style-neutral score with each style on any date: all but zero."""
     styles = ["momentum_20d", "volatility_20d", "turnover_mean_20d", "log_total_mv"]
-    s = _styles(bar_panel(spark, sf_dir)).select("t", "code", *[o.cs_zscore(F.col(c), 1).alias(c) for c in styles])
-    res = a.residualize(event_table(spark, sf_dir).join(s, ["t", "code"], "left"), "score", styles)
-    book = p.summarize_objective(p.top_k_portfolio(res, "residual", "ret", _K), _K).select(F.lit("book_mean").alias("x"), F.col("mean").alias("worst"))
-    return a.exposure(res, "residual", styles).unionByName(book).select("x", F.round("worst", 6).alias("worst"))
+    s = _styles(bar_panel(spark, sf_dir)).select("t", "code", *styles)
+    x, names = a.style_design(event_table(spark, sf_dir).select("t", "code", "score").join(s, ["t", "code"], "left"), styles)
+    return a.exposure(a.residualize(x, "score", names), "residual", names).select("x", F.round("worst", 6).alias("worst"))
+
+
+ORACLE["style_exposure"] = "select unnest(['z_momentum_20d', 'z_volatility_20d', 'z_turnover_mean_20d', 'z_log_total_mv']) as x, 0.0::double as worst"
 
 
 # permutation null
@@ -498,12 +504,8 @@ def placebo_quantiles_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def placebo_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The metrics of all factors graded by the thresholds of placebo_quantiles_full."""
-    e = event_table(spark, sf_dir)
-    names = list(EVENT_FIELDS)
-    long = e.select("t", "code", "y", F.inline(F.array(*[F.struct(F.lit(c).alias("factor"), F.col(c).alias("x")) for c in names])))
-    ic = m.summarize_ic(m.daily_ic(long, "x", "y", by=("factor",)), by=("factor",)).select("factor", "ic_mean", "icir")
-    gini = m.daily_gini(long, "x", by=("factor",)).groupBy("factor").agg(F.avg("gini").alias("gini"))
-    return rounded(a.grade(ic.join(gini, "factor"), a.null_quantiles(_full_null(spark, sf_dir))), ["factor", "level", "eligible"])
+    metrics = a.factor_metrics(event_table(spark, sf_dir), list(EVENT_FIELDS), "y")
+    return rounded(a.grade(metrics, a.null_quantiles(_full_null(spark, sf_dir))), ["factor", "level", "eligible"])
 
 
 # scoring and search
@@ -517,11 +519,24 @@ def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.ranked(e.join(F.broadcast(last), "t"), "score").where("rank is not null").select("trade_date", "code", "rank", (F.round("score", 6) + 0.0).alias("score"))
 
 
+#: A test size of the search, whose own defaults are 400 trees and 25 generations.
+_SMALL = {"population": 24, "generations": 2}
+
+
 @query()
-def factor_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An evolutionary search for event factors with search()'s defaults; a row a survivor."""
-    found = search(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", k=_K, kind="event", seed=3)
-    return spark.createDataFrame([(s.expression, float(s.fitness), s.size) for s in found] or [], "expression string, fitness double, size int")
+def factor_search_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An evolutionary search at test size, net of costs, bred on the earlier dates and selected on the later; a row a survivor."""
+    fit, selection = lb.fit_selection(*lb.outcome_complete(0, calendar(spark, sf_dir).count(), 2))
+    found = search(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", k=_K, kind="event", seed=3, cost=0.001, fit=fit, selection=selection, **_SMALL)
+    return spark.createDataFrame([(s.expression, float(s.fitness), float(s.selection), s.size) for s in found], "expression string, fitness double, selection double, size int")
+
+
+@query()
+def mined_factors_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the search at test size, the second on what the first leaves unexplained; a row a survivor."""
+    fit, selection = lb.fit_selection(*lb.outcome_complete(0, calendar(spark, sf_dir).count(), 2))
+    found = mine(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", rounds=2, k=_K, kind="event", seed=5, keep=2, cost=0.001, fit=fit, selection=selection, **_SMALL)
+    return spark.createDataFrame([(n, s.expression, float(s.fitness), float(s.selection)) for n, s in found], "round int, expression string, fitness double, selection double")
 
 
 @query()
@@ -531,5 +546,16 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = event_table(spark, sf_dir)
     folds = lb.walk_forward(calendar(spark, sf_dir).count(), 200, 20, 100, 2)
-    s = walk_forward_scores(e, ["score", "feat_a", "feat_b", "feat_c"], folds)
+    s = walk_forward_scores(e, list(EVENT_FIELDS), folds)
     return rounded(m.daily_gini(s, "prediction_score", by=("fold",)).groupBy("fold").agg(F.avg("gini").alias("gini"), F.count("gini").alias("n_dates")), ["fold", "n_dates"])
+
+
+@query()
+def ablation_small(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the features beside the score add to boosted trees, over two seeds; a few small trees, as a test size."""
+    from ..operators.diagnostics import seed_delta
+    from ..operators.model import ablation
+
+    fold = lb.walk_forward(calendar(spark, sf_dir).count(), 200, 20, 100, 2)[0]
+    rows = ablation(event_table(spark, sf_dir), ["score"], list(EVENT_FIELDS[1:]), fold, (1, 2), iterations=3, depth=3)
+    return rounded(seed_delta(spark.createDataFrame(rows, "arm string, seed int, gini double"), "arm", "gini", "base"), ["arm", "n"])

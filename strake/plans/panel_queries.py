@@ -247,7 +247,7 @@ def top_k_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(m.top_k_hit(event_table(spark, sf_dir), "score", 10), [])
 
 
-_FACTORS = ["score", "feat_a", "feat_b", "feat_c"]
+_FACTORS = list(EVENT_FIELDS)
 
 
 def _corr_sql() -> str:

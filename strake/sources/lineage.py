@@ -76,3 +76,22 @@ def require_clean(df: DataFrame, audit: Audit, cal: DataFrame, **kw) -> DataFram
     if bad:
         raise ContractError(f"{bad[0]['violation']} rule broken: {bad[0].asDict()}")
     return df
+
+
+def governed_scan(df: DataFrame, manifest: dict[str, Audit], cal: DataFrame, fields: list[str], date: str = "trade_date", code: str = "stock_code", train_end: str | None = None, one_version: bool = False) -> DataFrame:
+    """(t, trade_date, code, slot, fields) of a table all of whose rows keep their lineage: validated, projected, packed.
+
+    Every field must be in the manifest. Rows of a date are numbered by code. one_version: a version column may hold one only.
+    """
+    from ..common import norm_code, plain_date
+    from ..operators.relational import slots
+
+    unknown = [c for c in fields if c not in manifest]
+    if unknown:
+        raise ContractError(f"the manifest doesn't know {unknown}")
+    for audit in dict.fromkeys(manifest[c] for c in fields):
+        require_clean(df, audit, cal, date=date, train_end=train_end)
+        if one_version and audit.version and len(df.select(audit.version).distinct().limit(2).collect()) > 1:
+            raise ContractError(f"{audit.version} holds several versions")
+    rows = df.select(plain_date(date).alias("trade_date"), norm_code(code).alias("code"), *fields)
+    return slots(rows.join(F.broadcast(cal.select("t", "trade_date")), "trade_date")).select("t", "trade_date", "code", "slot", *fields)

@@ -35,19 +35,27 @@ def densify(df: DataFrame, cal: DataFrame) -> DataFrame:
     return grid.join(F.broadcast(cal), "t").join(df.drop("trade_date"), ["t", "code"], "left")
 
 
-def adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(code, trade_date, adj): of the records of a code and day the last known."""
-    a = table(spark, sf_dir, "adj_factor").where("adj_factor > 0 and not isnan(adj_factor)")
-    return a.groupBy(norm_code("ts_code").alias("code"), "trade_date").agg(F.max_by("adj_factor", F.struct("as_of_time", "adj_id")).alias("adj"))
-
-
-def bar_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dense panel with the adjustment factor in force and adjusted prices (``_h``), NULL without a factor."""
+def adjustment(spark: SparkSession, sf_dir: str, hindsight: bool = False) -> DataFrame:
+    """(code, at, record): the valid factor records and the day from whose close on they are in force and known."""
+    a = table(spark, sf_dir, "adj_factor").where("adj_factor > 0 and not isnan(adj_factor) and as_of_time is not null")
+    known = F.date_format(F.expr("as_of_time + interval '8:59:59.999999' hour to second"), "yyyyMMdd")  # after 15:00 it's the next day
+    at = F.col("trade_date") if hindsight else F.greatest("trade_date", known)
+    return a.select(norm_code("ts_code").alias("code"), at.alias("at"), F.struct("trade_date", "as_of_time", "adj_id", F.col("adj_factor").alias("adj")).alias("record"))
+
+
+def bar_panel(spark: SparkSession, sf_dir: str, hindsight: bool = False) -> DataFrame:
+    """The dense panel with the adjustment factor and adjusted prices (``_h``), NULL without a factor.
+
+    A cell's factor is the one in force on its date as known at its close, so that later records change nothing earlier:
+    what features may use. With ``hindsight`` it is the one known in the end, whose prices are comparable over the dates of
+    a holding period: what outcomes need. Both thresholds rise along a code's dates, so that the right record is the
+    greatest (date, time known, id) so far; no join and no second shuffle.
+    """
     dense = densify(bars(spark, sf_dir), calendar(spark, sf_dir))
-    adj = adjustment(spark, sf_dir)
-    w = W.partitionBy("code").orderBy("trade_date", "is_bar").rowsBetween(W.unboundedPreceding, 0)
-    both = dense.withColumns({"adj": F.lit(None).cast("double"), "is_bar": F.lit(1)}).unionByName(adj.withColumn("is_bar", F.lit(0)), allowMissingColumns=True)
-    filled = both.withColumn("adj", F.last("adj", ignorenulls=True).over(w)).where("is_bar = 1").drop("is_bar")
+    records = adjustment(spark, sf_dir, hindsight)
+    w = W.partitionBy("code").orderBy("at", "is_bar").rowsBetween(W.unboundedPreceding, 0)
+    both = dense.withColumns({"at": F.col("trade_date"), "record": F.lit(None).cast(records.schema["record"].dataType), "is_bar": F.lit(1)}).unionByName(records.withColumn("is_bar", F.lit(0)), allowMissingColumns=True)
+    filled = both.withColumn("adj", F.max("record").over(w)["adj"]).where("is_bar = 1").drop("is_bar", "at", "record")
     return filled.withColumns({f"{c}_h": F.col(c) * F.col("adj") for c in ("open", "high", "low", "close")}).withColumn("is_trading", F.col("close").isNotNull() & (F.coalesce("vol", F.lit(0.0)) > 0))
 
 
@@ -66,16 +74,18 @@ def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-PANEL_SQL = """
+_PANEL_SQL = """
 with cal as (select cast(row_number() over (order by trade_date) - 1 as int) as t, trade_date from (select distinct cal_date as trade_date from trade_cal where is_open = 1)),
 bars as (select t, trade_date, code, unnest(v) from (select t, d.trade_date, upper(trim(ts_code)) as code, arg_max({'open': raw_open, 'high': raw_high, 'low': raw_low, 'close': raw_close, 'pre_close': d.pre_close,
   'pct_chg': d.pct_chg, 'vol': d.vol, 'amount': d.amount, 'turnover': turnover_rate_f, 'total_mv': d.total_mv}, (loaded_at, bar_id)) as v from daily d join cal using (trade_date) group by 1, 2, 3)),
-adjs as (select upper(trim(ts_code)) as code, trade_date, arg_max(adj_factor, (as_of_time, adj_id)) as adj from adj_factor where adj_factor > 0 and not isnan(adj_factor) group by 1, 2),
 grid as (select code, t, trade_date from (select distinct code from bars) cross join cal),
+adjs as (select g.code, g.t, arg_max(a.adj_factor, (a.trade_date, a.as_of_time, a.adj_id)) as adj from grid g join adj_factor a on g.code = upper(trim(a.ts_code)) and a.trade_date <= g.trade_date and a.as_of_time KNOWN where a.adj_factor > 0 and not isnan(a.adj_factor) group by 1, 2),
 dense as (select g.code, g.t, g.trade_date, b.* exclude (t, trade_date, code) from grid g left join bars b using (t, code)),
 panel as (select d.*, a.adj, open * a.adj as open_h, high * a.adj as high_h, low * a.adj as low_h, close * a.adj as close_h, close is not null and coalesce(vol, 0) > 0 as is_trading
-  from dense d asof left join adjs a on d.code = a.code and d.trade_date >= a.trade_date)
+  from dense d left join adjs a using (code, t))
 """
+PANEL_SQL = _PANEL_SQL.replace("KNOWN", "<= strptime(g.trade_date, '%Y%m%d') + interval 15 hour")
+FINAL_SQL = _PANEL_SQL.replace("KNOWN", "is not null")  # with hindsight
 EVENT_SQL = """
 with cal as (select cast(row_number() over (order by trade_date) - 1 as int) as t, trade_date from (select distinct cal_date as trade_date from trade_cal where is_open = 1)),
 e as (select t, trade_date, code, unnest(v) from (select t, trade_date, code, arg_max({'event_id': event_id, 'strategy_name': strategy_name, %s,

@@ -6,14 +6,17 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.expr import OUTCOMES
+
 
 @dataclass(frozen=True)
 class TableSpec:
-    """A table's columns in order; those in ``numeric`` are doubles, all others texts. Dated tables lie by year."""
+    """A table's columns in order; those in ``numeric`` are doubles, all others texts. Dated tables lie by date."""
 
     name: str
     columns: tuple[str, ...]
@@ -50,13 +53,12 @@ class Store:
         return os.path.join(self.root, spec.name)
 
     def _read(self, spec: TableSpec) -> DataFrame:
-        schema = T.StructType([*spec.schema.fields, *([T.StructField("year", T.IntegerType())] if spec.date else [])])
         try:
-            return self.spark.read.schema(schema).parquet(self.path(spec))
+            return self.spark.read.schema(spec.schema).parquet(self.path(spec))
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            return self.spark.createDataFrame([], schema)
+            return self.spark.createDataFrame([], spec.schema)
 
     def read_static(self, spec: TableSpec) -> DataFrame:
         """The table, empty with its columns where it was never written."""
@@ -66,9 +68,8 @@ class Store:
         conform(df, spec).write.mode("overwrite").option("compression", "zstd").parquet(self.path(spec))
 
     def read_dated(self, spec: TableSpec, start: str, end: str) -> DataFrame:
-        """Rows of start..end (YYYYMMDD, both included); only their years' files are read."""
-        years = F.col("year").between(int(start[:4]), int(end[:4]))
-        return self._read(spec).where(years & F.col(spec.date).between(start, end)).select(*spec.columns)
+        """Rows of start..end (YYYYMMDD, both included); only their dates' files are read."""
+        return self._read(spec).where(F.col(spec.date).between(start, end)).select(*spec.columns)
 
     def existing_dates(self, spec: TableSpec) -> DataFrame:
         return self._read(spec).select(spec.date).distinct()
@@ -78,21 +79,15 @@ class Store:
         return wanted.select(spec.date).distinct().join(self.existing_dates(spec), spec.date, "left_anti")
 
     def append_dated(self, spec: TableSpec, df: DataFrame, order: tuple[str, ...] = ()) -> None:
-        """Replaces the dates that df delivers and keeps the others: writing twice changes nothing. Only the delivered years
-        are rewritten, through a staging folder beside the table, as a folder can't be read while it is overwritten."""
-        new = conform(df, spec).withColumn("year", F.substring(spec.date, 1, 4).cast("int"))
-        years = [r[0] for r in new.select("year").distinct().collect()]  # one a year
-        if not years:
-            return
-        old = self._read(spec).where(F.col("year").isin(years)).join(new.select(spec.date).distinct(), spec.date, "left_anti")
-        staging = self.path(spec) + ".staging"
-        both = old.select(*spec.columns, "year").unionByName(new).repartition("year").sortWithinPartitions("year", spec.date, *order)
-        both.write.mode("overwrite").partitionBy("year").option("compression", "zstd").parquet(staging)
-        staged = self.spark.read.schema(T.StructType([*spec.schema.fields, T.StructField("year", T.IntegerType())])).parquet(staging)
-        staged.repartition("year").sortWithinPartitions("year", spec.date, *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").option("compression", "zstd").parquet(self.path(spec))
-
-
-def feature_columns(df: DataFrame, meta: tuple[str, ...] = (), outcomes: tuple[str, ...] = ("label", "target", "y_", "fwd_", "future_"), audits: tuple[str, ...] = ("_source_date", "_as_of_time", "_price_basis", "_adj_factor_version")) -> list[str]:
+        """Replaces the dates that df delivers and keeps the others: writing twice changes nothing. Rows without a date are an
+        error of the caller and left out. Every row is written once, old ones aren't read; the delivered dates' folders are
+        exchanged when all tasks are done. A date of many rows is split over tasks."""
+        new = conform(df, spec).where(F.col(spec.date).isNotNull())
+        new = new.hint("rebalance", spec.date).sortWithinPartitions(spec.date, *order)
+        new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(spec.date).option("compression", "zstd").parquet(self.path(spec))
+
+
+def feature_columns(df: DataFrame, meta: tuple[str, ...] = (), outcomes: tuple[str, ...] = OUTCOMES, audits: tuple[str, ...] = ("_source_date", "_as_of_time", "_price_basis", "_adj_factor_version")) -> list[str]:
     """Numeric columns that may be features: no keys, outcomes or audit columns. Only the schema is read."""
     kinds = (T.NumericType,)
     return [f.name for f in df.schema if isinstance(f.dataType, kinds) and f.name not in meta and not f.name.lower().startswith(outcomes) and not f.name.endswith(audits)]
@@ -104,6 +99,17 @@ def rank_shaped(columns: list[str]) -> list[str]:
     return [c for c in columns if not c.endswith(("_rank", "_pctl")) and not {f"{c}_rank", f"{c}_pctl"} & names]
 
 
+def read_calendar(spark: SparkSession, path: str, date: str = "cal_date", is_open: str = "is_open") -> list[str]:
+    """``load_calendar`` of a parquet table or, by its name's ending, a csv file with a header; dates must rise in the file."""
+    if not path.endswith(".csv"):
+        return load_calendar(spark.read.parquet(path), date, is_open)
+    rows = spark.read.option("header", True).csv(path).coalesce(1).withColumn("_i", F.monotonically_increasing_id())  # a row a day
+    before = F.lag(date).over(W.orderBy("_i"))
+    if rows.withColumn("_b", before).where(F.col(date) <= F.col("_b")).limit(1).collect():
+        raise ValueError("the calendar's dates don't rise")
+    return load_calendar(rows.withColumn(is_open, F.col(is_open).try_cast("int")), date, is_open)
+
+
 def load_calendar(df: DataFrame, date: str = "cal_date", is_open: str = "is_open") -> list[str]:
     """The open days, in order. Refuses repeated or malformed dates and flags other than 0 and 1. One row a day."""
     bad = df.where(F.col(date).isNull() | ~F.col(date).rlike(r"\A[0-9]{8}\z") | F.try_to_date(F.col(date), "yyyyMMdd").isNull() | F.col(is_open).isNull() | ~F.col(is_open).isin(0, 1)).limit(1).collect()

@@ -31,15 +31,15 @@ def test_no_look_ahead(panel, text):
     assert get(panel) == get(panel.withColumn("x", F.when(F.col("t") == 29, F.col("x") + 100).otherwise(F.col("x"))))
 
 
-def test_small_operators(spark):
-    rows = spark.createDataFrame([(0, "a", 1.0, 0.0), (0, "b", 2.0, 1e-15), (0, "c", 3.0, 2.0)], "t int, code string, x double, y double")
-    assert [r.v for r in rows.select("code", o.div(F.col("x"), F.col("y")).alias("v")).orderBy("code").collect()] == [None, None, 1.5]
-    ranks = spark.createDataFrame([(0, c, v) for c, v in zip("abcd", (3.0, 1.0, None, 2.0))], "t int, code string, x double")
-    assert [r.v for r in ranks.select("code", o.cs_rank(F.col("x")).alias("v")).orderBy("code").collect()] == [1.0, pytest.approx(1 / 3), None, pytest.approx(2 / 3)]
-    flat = spark.createDataFrame([(0, c, 5.0) for c in "abc"], "t int, code string, x double")
-    assert {r.v for r in flat.select(o.cs_zscore(F.col("x")).alias("v")).collect()} == {None}
-    line = spark.createDataFrame([(t, "a", float(t)) for t in range(10)], "t int, code string, x double")
-    assert [r.v for r in line.select("t", o.ts_mean(F.col("x"), 4).alias("v")).orderBy("t").collect()] == [None] * 3 + [k + 1.5 for k in range(7)]
+def test_small_operators(spark, panel):
+    """Properties on random cells: protected division, ranks, constant dates, full windows."""
+    rows = {(r.t, r.code): r for r in panel.select("t", "code", "x", "y", o.div(F.col("x"), F.col("y")).alias("q"), o.cs_rank(F.col("x")).alias("r"), o.cs_zscore(F.lit(7.0) + 0 * F.col("t")).alias("z"), o.ts_mean(F.col("x"), 6).alias("m")).collect()}
+    for (t, code), r in rows.items():
+        assert r.q == (None if r.x is None or abs(r.y) < 1e-9 else pytest.approx(r.x / r.y)) and r.z is None
+        date = sorted((v.x, c) for (u, c), v in rows.items() if u == t and v.x is not None)
+        assert r.r == (None if r.x is None else pytest.approx((date.index((r.x, code)) + 1) / len(date)))
+        past = [rows[u, code].x for u in range(t - 5, t + 1)] if t >= 5 else [None]
+        assert r.m == (None if None in past else pytest.approx(sum(past) / 6))
     with pytest.raises(ValueError):
         o.delay(F.col("x"), 0)
 
