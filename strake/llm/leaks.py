@@ -154,6 +154,7 @@ class Passages:
         self.lead[-1] = len(self.hash)
         self.crowd = int(np.diff(self.lead).max(initial=0))
         self.verify = Pieces(self.items) if self.items else None
+        self.batch = max(4096, BATCH * 100_000 // max(100_000, len(flat)))  # the more passages, the more hits a character has
 
     def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions in h of hashes that a passage has, and their numbers."""
@@ -191,7 +192,7 @@ class Passages:
                 part = t[at : at + WINDOW + Q - 1 + 2 * self.longest]
                 pieces.append((k, at, part))
                 size += len(part) + 256
-                if size >= BATCH and at + WINDOW >= len(t) - Q + 1:
+                if size >= self.batch and at + WINDOW >= len(t) - Q + 1:
                     yield from self._found(pieces, folded)
                     pieces, size = [], 0
         yield from self._found(pieces, folded)
@@ -202,7 +203,7 @@ class Passages:
         for n, p in enumerate(pieces):
             batch.append(p)
             size += len(p[2]) + 256
-            if size >= BATCH or n == len(pieces) - 1:
+            if size >= self.batch or n == len(pieces) - 1:
                 for k, item, pos, d in self._regions(batch, folded):
                     kept.setdefault((k, item), []).append((pos, d))
                 batch, size = [], 0

@@ -1,4 +1,4 @@
-"""The training-data queries over texts. They have no SQL: their tests hold brute force and round trips against them."""
+"""The training-data queries over texts. Only p7_check has SQL: their tests hold brute force and round trips against them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..common import table
 from .leaks import find_leaks
-from .packing import pack
+from .packing import pack, token_counts
 from .reading import fit_levels, reading_levels
 
 QUERIES: dict = {}
@@ -32,6 +32,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.agg(F.count(F.lit(1)).alias("containers"), F.ceil(F.sum("tokens") / 2048).alias("least"), F.round(1 - F.sum("tokens") / (F.count(F.lit(1)) * 2048), 6).alias("unused"), F.max("tokens").alias("fullest"), F.sum("pieces").alias("pieces"))
 
 
+@query
+def p7_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing against its rules: every document placed, whole unless longer than a container, no token lost, none overfull."""
+    docs = table(spark, sf_dir, "documents")
+    p = pack(docs)
+    one = p.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("start_token") != F.col("piece") * 2048).alias("gaps"))
+    each = token_counts(docs, doc_id="doc_id", text="text").join(one, "doc_id", "left")
+    full = p.groupBy("container_id").agg(F.sum("tokens").alias("n")).agg(F.count_if(F.col("n") > 2048).alias("overfull"))
+    off = F.col("pieces") != F.ceil(F.col("n_tokens") / 2048)
+    rules = each.agg(F.count(F.lit(1)).alias("docs"), F.count("tokens").alias("placed"), F.count_if(off).alias("cut_wrongly"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"), F.sum(F.col("n_tokens") - F.coalesce("tokens", F.lit(0))).alias("lost_tokens"))
+    return rules.join(full, how="cross")  # one row each
+
+
+ORACLE["p7_check"] = "select count(*) as docs, count(*) as placed, 0::bigint as cut_wrongly, 0::bigint as gaps, 0::bigint as lost_tokens, 0::bigint as overfull from documents where length(text) > 0"
+
+
 @query
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold at least two fifths of an evaluation passage."""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import checkpoint
 from .leaks import _BROKEN, _TAG, _mend
 
 # Common function words; fixed values.
@@ -157,6 +158,7 @@ def fit_levels(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", te
     graded = labels.where(F.col(grade).between(*GRADES) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("bigint").alias("_id")).agg(F.avg(grade).alias("_grade"))
     graded = graded.orderBy(F.xxhash64("_id"), "_id").limit(max_graded)
     mine = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("_id"), F.col(text).alias("_text")).join(F.broadcast(graded), "_id")  # of bounded size
+    mine = checkpoint(mine)  # read twice, for the words and for the weights
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
