@@ -515,7 +515,7 @@ def _aligned(a: np.ndarray, a_at: np.ndarray, n: np.ndarray, b: np.ndarray, b_at
     return tuple(np.concatenate(z) for z in zip(*found))
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", share: float = 0.4, block_chars: int = 2_000_000) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", share: float = 0.4, block_chars: int = 1_000_000) -> DataFrame:
     """(item_id, doc_id, share): documents that reproduce at least ``share`` of a passage's words in its order.
 
     Passages are sent to every task in blocks of about ``block_chars`` characters, as many blocks as there need be; the
