@@ -14,12 +14,12 @@ from strake.sources import store as st
 from strake.sources.lineage import Audit, governed_scan
 from strake.sources.panel import bar_panel
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="module")
 def cut(spark, tmp_path_factory):
-    """The smallest tables without the factor records that became known from September 2022 on."""
+    """The tables without the factor records that became known from September 2022 on."""
     at = tmp_path_factory.mktemp("cut")
     for name in ("trade_cal", "daily"):
         os.symlink(f"{SF}/{name}.parquet", at / f"{name}.parquet")
