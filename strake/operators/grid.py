@@ -3,7 +3,8 @@
 A Kalman filter with a continuous-time local linear trend (level and slope of the logarithm, white-noise driven) runs over
 all usable readings at their own times. The readings of one source and session are first put together into one element: how
 the state at the first of them leads to the state at the session's close, and what they say of the former. Elements combine
-exactly, as in a parallel scan, so a source is bounded by the calendar without leaving out a reading. All variances of the
+exactly, as in a parallel scan, so a source is bounded by the calendar without leaving out a reading, and a session of very many
+readings is cut into spans of time whose elements are made apart. All variances of the
 model are multiples of the source's q, so elements are made for q = 1 and scaled when q is known from all the pairs of
 neighbouring readings. A pass forward and one backward over a source's sessions, sources side by side, give at every close
 the smoothed level and its standard deviation, beside whether the session lacked a reading and the reading last assimilated,
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..common import finite, micros, norm_code
+from ..common import checkpoint, finite, micros, norm_code
 
 DAY = 86_400_000_000
 CLOSE = 15 * 3_600_000_000
@@ -82,6 +83,7 @@ def smooth(times: np.ndarray, y: np.ndarray, var: np.ndarray, q: np.ndarray, q_s
     return m[:, 0], np.maximum(p[:, 0], 0), last
 
 
+EVERY = 16  # one reading in so many tells which sessions are crowded
 #: Variances of a reading and, a day, of the level's and the slope's noise, as multiples of q.
 VAR, LEVEL, SLOPE = 0.05, 0.9, 1e-4
 CELL = T.StructType([T.StructField("_source", T.StringType()), T.StructField("_session", T.IntegerType()), T.StructField("_cell", T.StructType([
@@ -110,11 +112,11 @@ def _inv(a: np.ndarray) -> np.ndarray:
     return np.stack([a[..., 1, 1], -a[..., 0, 1], -a[..., 1, 0], a[..., 0, 0]], -1).reshape(a.shape) / det[..., None, None]
 
 
-def _cells(schema: pa.Schema, closes: np.ndarray):
+def _cells(schema: pa.Schema, closes: np.ndarray | None):
     """(source, session, readings in order) to one element a row: A (4), b (2), C (4), eta (2), J (4).
 
-    Given the state x at the first reading's time, the state at the close is N(A x + b, C), and the readings' likelihood in
-    x is proportional to exp(eta x - x J x / 2)."""
+    Given the state x at the first reading's time, the state at the close (without closes: at the last reading) is
+    N(A x + b, C), and the readings' likelihood in x is proportional to exp(eta x - x J x / 2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,13 +148,68 @@ def _cells(schema: pa.Schema, closes: np.ndarray):
                 c[:m] -= g[:, :, None] * c[:m, :1, :]
             end = start + size - 1
             session = batch.column("_session").to_numpy()[order]
-            f, q = _step((closes[session] - at[end]) / DAY)
-            a, b, c = f @ a, _dot(f, b), f @ c @ f.swapaxes(1, 2) + q
-            flat = np.hstack([a.reshape(n, 4), b, c.reshape(n, 4), eta, j.reshape(n, 4)])
-            element = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.array(flat.ravel()))
+            if closes is not None:
+                f, q = _step((closes[session] - at[end]) / DAY)
+                a, b, c = f @ a, _dot(f, b), f @ c @ f.swapaxes(1, 2) + q
             parts = [at[start], at[end], y[start], y[end], rate, size.astype(np.int64) - 1, rid[end], value[end]]
-            cell = pa.StructArray.from_arrays([*[pa.array(x) for x in parts], element.cast(schema.field("_cell").type.field("element").type)], fields=list(schema.field("_cell").type))
-            yield pa.RecordBatch.from_arrays([batch.column("_source").take(pa.array(order)), pa.array(session), cell], schema=schema)
+            yield pa.RecordBatch.from_arrays([batch.column("_source").take(pa.array(order)), pa.array(session), _packed(schema, parts, a, b, c, eta, j)], schema=schema)
+
+    return run
+
+
+def _packed(schema: pa.Schema, parts: list[np.ndarray], a: np.ndarray, b: np.ndarray, c: np.ndarray, eta: np.ndarray, j: np.ndarray) -> pa.StructArray:
+    n = len(a)
+    flat = np.hstack([a.reshape(n, 4), b, c.reshape(n, 4), eta, j.reshape(n, 4)])
+    element = pa.ListArray.from_arrays(pa.array(np.arange(0, 16 * n + 1, 16, dtype=np.int32)), pa.array(flat.ravel()))
+    kind = schema.field("_cell").type
+    return pa.StructArray.from_arrays([*[pa.array(x) for x in parts], element.cast(kind.field("element").type)], fields=list(kind))
+
+
+def _unpacked(e: np.ndarray) -> tuple[np.ndarray, ...]:
+    return e[:, :4].reshape(-1, 2, 2), e[:, 4:6], e[:, 6:10].reshape(-1, 2, 2), e[:, 10:12], e[:, 12:].reshape(-1, 2, 2)
+
+
+def _joined(schema: pa.Schema, closes: np.ndarray):
+    """(source, session, cells of its spans of time) to the session's one cell, at its close: the spans' elements combined in
+    order, each taken on to the next one's first reading."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        eye = np.eye(2)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            off = batch.column("_spans").offsets.to_numpy()
+            start, size = off[:-1] - off[0], np.diff(off)
+            flat = batch.column("_spans").flatten()
+            parts = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(8)]
+            first = parts[0]
+            order = np.lexsort((first, np.repeat(np.arange(n), size)))
+            first, last, y_first, y_last, rate, pairs, rid, value = (x[order] for x in parts)
+            a2, b2, c2, eta2, j2 = _unpacked(flat.field(8).flatten().to_numpy().reshape(-1, 16)[order])
+            a, b, c, eta, j = (x[start] for x in (a2, b2, c2, eta2, j2))
+            total, count = rate[start], pairs[start]
+            for k in range(1, int(size.max())):
+                w = np.nonzero(size > k)[0]
+                now = start[w] + k
+                dt = (first[now] - last[now - 1]) / DAY
+                f, q = _step(dt)
+                aw, bw, cw = f @ a[w], _dot(f, b[w]), f @ c[w] @ f.swapaxes(1, 2) + q
+                x = a2[now] @ _inv(eye + cw @ j2[now])
+                z = aw.swapaxes(1, 2) @ _inv(eye + j2[now] @ cw)
+                eta[w] += _dot(z, eta2[now] - _dot(j2[now], bw))
+                j[w] += z @ j2[now] @ aw
+                b[w] = _dot(x, bw + _dot(cw, eta2[now])) + b2[now]
+                c[w] = x @ cw @ a2[now].swapaxes(1, 2) + c2[now]
+                a[w] = x @ aw
+                total[w] += rate[now] + _rate(y_first[now] - y_last[now - 1], dt)
+                count[w] += pairs[now] + 1
+            end = start + size - 1
+            session = batch.column("_session").to_numpy()
+            f, q = _step((closes[session] - last[end]) / DAY)
+            a, b, c = f @ a, _dot(f, b), f @ c @ f.swapaxes(1, 2) + q
+            cell = _packed(schema, [first[start], last[end], y_first[start], y_last[end], total, count, rid[end], value[end]], a, b, c, eta, j)
+            yield pa.RecordBatch.from_arrays([batch.column("_source"), pa.array(session), cell], schema=schema)
 
     return run
 
@@ -234,7 +291,7 @@ def _evaluate(schema: pa.Schema, closes: np.ndarray, cells: int = 400_000):
     return run
 
 
-def regular_grid(reads: DataFrame, sessions: list[str], *, source: str, time: str, value: str, read_id: str) -> DataFrame:
+def regular_grid(reads: DataFrame, sessions: list[str], *, source: str, time: str, value: str, read_id: str, cell_rows: int = 200_000) -> DataFrame:
     """(source, trade_date, missing, read_id, value, smoothed, smoothed_sd) for every source and session.
 
     ``sessions`` are the calendar's open days (YYYYMMDD). A usable reading is finite and positive; it belongs to the first
@@ -259,10 +316,22 @@ def regular_grid(reads: DataFrame, sessions: list[str], *, source: str, time: st
         .where("_source is not null and _at is not null and _value > 0")
         .withColumn("_day", F.greatest(F.ceil((F.col("_at") - CLOSE) / DAY).cast("int"), F.lit(int(days[0]))))
         .join(F.broadcast(cal), "_day")
-        .groupBy("_source", "_session").agg(F.sort_array(F.collect_set(F.struct("_at", "_id", "_value"))).alias("_reads"))
-        .select("_source", F.col("_session").cast("int").alias("_session"), "_reads")
     )
-    at_close = np.array(closes, dtype=np.int64)
-    per = usable.mapInArrow(_cells(to_arrow_schema(CELL), at_close), CELL).groupBy("_source").agg(F.collect_list(F.struct("_session", "_cell")).alias("_cells"))
+    # a sample tells which sessions of a source hold more readings than a task should gather, and how long a span of them may be
+    seen = usable.sample(1 / EVERY, seed=1).groupBy("_source", "_session").agg(F.count(F.lit(1)).alias("n"), (F.max("_at") - F.min("_at") + 1).alias("long")).where(F.col("n") * EVERY > cell_rows)
+    hot = checkpoint(seen.select("_source", "_session", F.greatest(F.lit(1), F.floor(F.col("long") * cell_rows / (F.col("n") * EVERY))).cast("bigint").alias("_width")))
+    n_hot = hot.count()
+    keys = ["_source", "_session"]
+    if n_hot:
+        usable = usable.join(F.broadcast(hot) if n_hot <= 50_000 else hot, keys, "left").withColumn("_span", F.coalesce(F.floor(F.col("_at") / F.col("_width")), F.lit(0)))
+    rows = usable.groupBy(*keys, *(["_span"] if n_hot else [])).agg(F.sort_array(F.collect_set(F.struct("_at", "_id", "_value"))).alias("_reads"))
+    rows = rows.select("_source", F.col("_session").cast("int").alias("_session"), "_reads")
+    at_close, cell = np.array(closes, dtype=np.int64), to_arrow_schema(CELL)
+    if n_hot:
+        spans = rows.mapInArrow(_cells(cell, None), CELL).groupBy(*keys).agg(F.collect_list("_cell").alias("_spans"))
+        cells = spans.mapInArrow(_joined(cell, at_close), CELL)
+    else:
+        cells = rows.mapInArrow(_cells(cell, at_close), CELL)
+    per = cells.groupBy("_source").agg(F.collect_list(F.struct("_session", "_cell")).alias("_cells"))
     filled = per.mapInArrow(_evaluate(to_arrow_schema(out), at_close), out)
     return filled.join(F.broadcast(name), "session").select("source", "trade_date", "missing", "read_id", "value", "smoothed", "smoothed_sd")

@@ -210,8 +210,9 @@ def p4_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p4_smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The smoother's values with their uncertainty; no SQL, tested against a dense posterior."""
-    return _grid(spark, sf_dir).select(F.col("source").alias("ts_code"), "trade_date", "missing", "smoothed", "smoothed_sd")
+    """The smoother's values with their uncertainty, marked where missing."""
+    r = lambda c, n: (F.round(c, n) + 0.0).alias(c)
+    return _grid(spark, sf_dir).select(F.col("source").alias("ts_code"), "trade_date", "missing", r("smoothed", 4), r("smoothed_sd", 6))
 
 
 _P4 = """
@@ -226,6 +227,32 @@ ORACLE["p4_found"] = _P4 + "select c as ts_code, cal_date as trade_date, r[1] as
 ORACLE["p4_series"] = _P4 + "select c as ts_code, cal_date as trade_date, missing, r[1] as read_id, round(r[2], 6) as hfq_close from f join s using (i)"
 
 
+# Kalman filter and Rauch-Tung-Striebel smoother as two recursions over each code's readings and closes
+_SMOOTHER = _P4.replace("with s as", "with recursive s as", 1) + """
+, rd as (select b.c, b.i, ln(hfq_close) as y, epoch_us(read_time) as us, read_id from b where b.i is not null),
+nb as (select c, y - lag(y) over w as d, (us - lag(us) over w) / 86400000000.0 as dt from rd window w as (partition by c order by us, read_id)),
+qs as (select c, greatest(coalesce(avg(d * d / (0.9 * dt + 0.1)), 1e-4), 1e-10) as q from nb group by c),
+st as (select c, us / 86400000000.0 as x, y, i, miss, row_number() over (partition by c order by us, y is null, read_id) as k from (
+  select c, us, y, null as i, null as miss, read_id from rd union all select f.c, epoch_us(s.close), null, f.i, f.missing, null from f join s using (i)) z),
+fw as (
+  select st.c, k, x, i, miss, q, y as l, 0.0::double as v, (500 * q + 1) * 0.05 * q / (500 * q + 1 + 0.05 * q) as a, 0.0::double as b, 9 * q + 1e-12 as e, y as pl, 0.0::double as pv, 500 * q + 1 as pa, 0.0::double as pb, 9 * q + 1e-12 as pe from st join qs using (c) where k = 1
+  union all
+  select c, k, x, i, miss, q, case when y is null then pl else pl + pa / (pa + 0.05 * q) * (y - pl) end, case when y is null then pv else pv + pb / (pa + 0.05 * q) * (y - pl) end,
+    case when y is null then pa else pa - pa / (pa + 0.05 * q) * pa end, case when y is null then pb else pb - pa / (pa + 0.05 * q) * pb end, case when y is null then pe else pe - pb / (pa + 0.05 * q) * pb end, pl, pv, pa, pb, pe
+  from (select st.c, st.k, st.x, st.i, st.miss, q, y, l + (st.x - fw.x) * v as pl, v as pv, a + 2 * (st.x - fw.x) * b + (st.x - fw.x) ** 2 * e + 0.9 * q * (st.x - fw.x) + 1e-4 * q * (st.x - fw.x) ** 3 / 3 as pa,
+    b + (st.x - fw.x) * e + 1e-4 * q * (st.x - fw.x) ** 2 / 2 as pb, e + 1e-4 * q * (st.x - fw.x) as pe from fw join st on st.c = fw.c and st.k = fw.k + 1) z),
+bw as (
+  select c, k, x, i, miss, l, v, a, b, e, pl, pv, pa, pb, pe from (select *, max(k) over (partition by c) as top from fw) z where k = top
+  union all
+  select c, k, x, i, miss, l + g00 * d0 + g01 * d1, v + g10 * d0 + g11 * d1, a + g00 * (g00 * da + g01 * db) + g01 * (g00 * db + g01 * de), b + g10 * (g00 * da + g01 * db) + g11 * (g00 * db + g01 * de), e + g10 * (g10 * da + g11 * db) + g11 * (g10 * db + g11 * de), pl, pv, pa, pb, pe
+  from (select *, ((a + dt * b) * npe - b * npb) / det as g00, (b * npa - (a + dt * b) * npb) / det as g01, ((b + dt * e) * npe - e * npb) / det as g10, (e * npa - (b + dt * e) * npb) / det as g11
+    from (select fw.c, fw.k, fw.x, fw.i, fw.miss, fw.l, fw.v, fw.a, fw.b, fw.e, fw.pl, fw.pv, fw.pa, fw.pb, fw.pe, bw.x - fw.x as dt, bw.l - bw.pl as d0, bw.v - bw.pv as d1, bw.a - bw.pa as da, bw.b - bw.pb as db, bw.e - bw.pe as de,
+      bw.pa as npa, bw.pb as npb, bw.pe as npe, bw.pa * bw.pe - bw.pb * bw.pb as det from bw join fw on fw.c = bw.c and fw.k = bw.k - 1) z) z2)
+select c as ts_code, cal_date as trade_date, miss as missing, round(exp(l), 4) + 0.0 as smoothed, round(sqrt(greatest(a, 0)), 6) + 0.0 as smoothed_sd from bw join s using (i) where bw.i is not null
+"""
+ORACLE["p4_smoothed"] = _SMOOTHER
+
+
 # 5. column-level data quality profile
 
 _NUMERIC = {"score": (0.0, 1.0), "feat_a": (-8.0, 8.0), "feat_b": (0.0, 60.0), "feat_c": (0.0, 1.0), "feat_d": (0.0, 30.0), "feat_e": (0.0, 100.0), "feat_f": (-40.0, 40.0), "label_hit": (0.0, 1.0)}

@@ -198,8 +198,8 @@ def test_grid(spark):
     assert regular_grid(df, [], source="code", time="at", value="v", read_id="id").count() == 0
 
 
-@pytest.mark.parametrize("hot", [1, 40])
-def test_smoothed_uses_every_reading(spark, hot):
+@pytest.mark.parametrize(("hot", "cell_rows"), [(1, 200_000), (40, 200_000), (40, 16)])
+def test_smoothed_uses_every_reading(spark, hot, cell_rows):
     rnd = np.random.default_rng(5)
     days = [f"202201{d:02d}" for d in (3, 4, 5, 6, 7, 10, 11, 12)]
     start, day = np.datetime64("2022-01-03T00:00:00"), np.timedelta64(1, "D")
@@ -218,7 +218,7 @@ def test_smoothed_uses_every_reading(spark, hot):
         level, var, _ = smooth(times[order][:, None], ys[order][:, None], one(0.05 * q), one(0.9 * q), one(1e-4 * q))
         want |= {(code, d): (np.exp(level[k, 0]), np.sqrt(var[k, 0])) for d, k in zip(days[ok], np.nonzero(np.isnan(ys[order]))[0])}
     df = spark.createDataFrame([*rows, *rows[:5]], "id long, code string, at string, v double").withColumn("at", F.to_timestamp_ntz("at"))
-    got = {(r.source, r.trade_date): (r.smoothed, r.smoothed_sd) for r in regular_grid(df, days, source="code", time="at", value="v", read_id="id").collect()}
+    got = {(r.source, r.trade_date): (r.smoothed, r.smoothed_sd) for r in regular_grid(df, days, source="code", time="at", value="v", read_id="id", cell_rows=cell_rows).collect()}
     assert got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], rel=1e-6) for k in want)
 
