@@ -47,14 +47,14 @@ def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENT_SQL + f", {_NAMES} select trade_date, code, exists (select 1 from n where n.code = e.code and stock_name like 'ST %' and e.trade_date >= start_date and (end_date is null or e.trade_date <= end_date)) as flagged from e")
 def interval_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether any marked name of the code was in effect on the date."""
-    e = event_table(spark, sf_dir).select("trade_date", "code")
+    e = event_table(spark, sf_dir, "event_id").select("trade_date", "code")
     return r.interval_any(e, _names(spark, sf_dir), key="code", at="trade_date", start="start_date", end="end_date", flag=F.col("stock_name").startswith("ST "), name="flagged")
 
 
 @query(EVENT_SQL + f", {_NAMES} select e.trade_date, e.code, count(n.code) as n_active, case when count(n.code) = 1 then min(n.stock_name) end as stock_name from e left join n on n.code = e.code and e.trade_date >= start_date and (end_date is null or e.trade_date <= end_date) group by 1, 2")
 def interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one name in effect, and how many are."""
-    e = event_table(spark, sf_dir).select("trade_date", "code")
+    e = event_table(spark, sf_dir, "event_id").select("trade_date", "code")
     return r.interval_one(e, _names(spark, sf_dir), key="code", at="trade_date", start="start_date", end="end_date", value="stock_name")
 
 
@@ -65,21 +65,21 @@ def listing_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the code had been listed for twenty sessions and not delisted."""
     last = F.max(F.struct("loaded_at", F.coalesce("list_date", F.lit("")).alias("l"), F.coalesce("delist_date", F.lit("99999999")).alias("d")))
     s = table(spark, sf_dir, "stock_basic").groupBy(norm_code("ts_code").alias("code")).agg(last.alias("m")).select("code", F.nullif("m.l", F.lit("")).alias("start"), F.col("m.d").alias("end"))
-    e = event_table(spark, sf_dir).select("t", "trade_date", "code")
+    e = event_table(spark, sf_dir, "event_id").select("t", "trade_date", "code")
     return r.in_listing(e, s, calendar(spark, sf_dir), start="start", end="end", days=20).drop("t")
 
 
 @query(PANEL_SQL + "select b.trade_date, b.code, " + r6("b.close", "close") + ", " + r6("x.close", "close_at") + " from bars b left join bars x on x.code = b.code and x.t = b.t + 3")
 def calendar_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The close three sessions later."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir, ("close",))
     return rounded(r.at_offset(b.select("t", "trade_date", "code", "close"), b, F.lit(3), ["close"]).drop("t"), ["trade_date", "code"])
 
 
 @query(EVENT_SQL + ", d as (select t, count(*) as n_hits from e where y = 1 and strategy_name = 'turn_spike' group by t) select t, coalesce(n_hits, 0) as n_hits from cal left join d using (t)")
 def calendar_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A daily count on every session, 0 where there is none."""
-    d = event_table(spark, sf_dir).where("y = 1 and strategy_name = 'turn_spike'").groupBy("t").agg(F.count(F.lit(1)).alias("n_hits"))
+    d = event_table(spark, sf_dir, "y", "strategy_name").where("y = 1 and strategy_name = 'turn_spike'").groupBy("t").agg(F.count(F.lit(1)).alias("n_hits"))
     return r.zero_filled(d, calendar(spark, sf_dir).select("t"), ["n_hits"])
 
 
@@ -123,7 +123,7 @@ def store_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENT_SQL + "select t, code, row_number() over (partition by t order by code) - 1 as slot from e")
 def event_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every row in its date."""
-    return r.slots(event_table(spark, sf_dir)).select("t", "code", F.col("slot").cast("bigint").alias("slot"))
+    return r.slots(event_table(spark, sf_dir, "event_id")).select("t", "code", F.col("slot").cast("bigint").alias("slot"))
 
 
 @query(EVENT_SQL + "select field, count(*) as cells, count(v) as filled, " + r6("avg(v)", "mean") + " from (" + " union all ".join(f"select '{c}' as field, {c} as v from e" for c in EVENT_FIELDS) + ") group by 1")
@@ -139,7 +139,7 @@ _LEVELS = ("base_break", "calm_drift", "gap_follow", "late_surge", "limit_echo",
 @query(EVENT_SQL + "select t, " + ", ".join(f"cast(sum(case when strategy_name = '{v}' then 1 else 0 end) as bigint) as {v}" for v in _LEVELS) + " from e group by t")
 def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 0/1 column a strategy, summed by date."""
-    h = r.one_hot(event_table(spark, sf_dir).select("t", "strategy_name"), "strategy_name")
+    h = r.one_hot(event_table(spark, sf_dir, "strategy_name").select("t", "strategy_name"), "strategy_name")
     return h.groupBy("t").agg(*[F.sum(f"strategy_name={v}").cast("bigint").alias(v) for v in _LEVELS])
 
 
@@ -147,14 +147,14 @@ def onehot(spark: SparkSession, sf_dir: str) -> DataFrame:
 select trade_date, count(*) as rows, sha256(concat_ws(',', """ + ", ".join(f"cast(sum(('0x' || substr(h, {1 + 8 * i}, 8))::bigint) as varchar)" for i in range(8)) + ")) as digest from h group by 1")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of every date's bars, whatever the order of the rows."""
-    b = bars(spark, sf_dir).where("vol is not null").select("code", "trade_date", F.col("vol").cast("bigint").alias("vol"))
+    b = bars(spark, sf_dir, ("vol",)).where("vol is not null").select("code", "trade_date", F.col("vol").cast("bigint").alias("vol"))
     return r.fingerprint(b, ["trade_date"])
 
 
 @query(PANEL_SQL + "select code, " + r6("median(amount)", "amount", 4) + " from bars group by code order by median(amount) desc nulls last, code limit 10")
 def liquid_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten codes of the largest median amount."""
-    return rounded(r.top_liquid(bars(spark, sf_dir), "amount", 10), ["code"], 4)
+    return rounded(r.top_liquid(bars(spark, sf_dir, ("amount",)), "amount", 10), ["code"], 4)
 
 
 @query("""with a as (select distinct upper(trim(stock_code)) as code from event_rows), b as (select distinct upper(trim(ts_code)) as code from daily)
@@ -193,13 +193,13 @@ _TOUCH = FINAL_SQL + f""", l as (select *, lead(open_h) over wt as entry, lead(h
 @query(_TOUCH + "select trade_date, code, valid, " + r6("entry", "entry_price") + ", " + r6("exit", "exit_price") + ", cast(case when valid then case when high2 >= entry * 1.03 then 1 else 0 end end as double) as y from l")
 def touch_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the high two sessions on reaches the next open plus three per cent; NULL where unobservable."""
-    return rounded(lb.touch_label(bar_panel(spark, sf_dir, hindsight=True), 1.03).select("trade_date", "code", "valid", "entry_price", "exit_price", "y"), ["trade_date", "code", "valid"])
+    return rounded(lb.touch_label(bar_panel(spark, sf_dir, hindsight=True, fields=("open_h", "high_h", "close_h", "is_trading")), 1.03).select("trade_date", "code", "valid", "entry_price", "exit_price", "y"), ["trade_date", "code", "valid"])
 
 
 @query(_TOUCH + "select substr(trade_date, 1, 6) as month, count(*) as cells, count(*) filter (where valid) as n_valid, round(avg(case when valid then case when high2 >= entry * 1.03 then 1.0 else 0.0 end end), 6) + 0.0 as base_rate from l group by 1")
 def base_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of touches among the observable cells, by month."""
-    x = lb.touch_label(bar_panel(spark, sf_dir, hindsight=True), 1.03).groupBy(F.substring("trade_date", 1, 6).alias("month"))
+    x = lb.touch_label(bar_panel(spark, sf_dir, hindsight=True, fields=("open_h", "high_h", "close_h", "is_trading")), 1.03).groupBy(F.substring("trade_date", 1, 6).alias("month"))
     return rounded(x.agg(F.count(F.lit(1)).alias("cells"), F.count_if("valid").alias("n_valid"), F.avg("y").alias("base_rate")), ["month", "cells", "n_valid"])
 
 
@@ -216,7 +216,7 @@ roles as (select fold, 'train' as role, lo as t_lo, lo + 120 as t_hi from f unio
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each fold and role of a walk-forward split with gaps."""
     _, folds = _folds(spark, sf_dir)
-    x = lb.in_folds(event_table(spark, sf_dir), folds).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("t").alias("n_dates"), F.avg("y").alias("base_rate"))
+    x = lb.in_folds(event_table(spark, sf_dir, "y"), folds).groupBy("fold", "role").agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("t").alias("n_dates"), F.avg("y").alias("base_rate"))
     return rounded(x, ["fold", "role", "n_rows", "n_dates"])
 
 
@@ -227,20 +227,20 @@ def fit_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = lb.outcome_complete(0, calendar(spark, sf_dir).count(), 2)
     fit, sel = lb.fit_selection(lo, hi)
     part = F.when((F.col("t") >= fit[0]) & (F.col("t") < fit[1]), "fit").when((F.col("t") >= sel[0]) & (F.col("t") < sel[1]), "selection")
-    x = event_table(spark, sf_dir).withColumn("part", part).where("part is not null")
+    x = event_table(spark, sf_dir, "event_id").withColumn("part", part).where("part is not null")
     return x.groupBy("part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
 
 @query(EVENT_SQL + "select round(least((count(y) - sum(y)) / sum(y), 20.0), 6) + 0.0 as weight from e")
 def positive_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Negatives per positive."""
-    return rounded(lb.positive_weight(event_table(spark, sf_dir)), [])
+    return rounded(lb.positive_weight(event_table(spark, sf_dir, "y")), [])
 
 
 @query(PANEL_SQL + """, s as (select t, trade_date, code, list(cast(coalesce(turnover, 0) as float)) over w5 as q, count(*) over w5 as n, list(cast(case when is_trading then 1 else 0 end as float)) over w5 as tr from panel """ + FRAMES + ") select trade_date, code, round(cast(q[1] as double), 4) + 0.0 as first_turnover, round(cast(q[5] as double), 4) + 0.0 as last_turnover, cast(list_sum(tr) as int) as traded from s where n = 5")
 def sequence_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five dates' values before and on every cell, as arrays; here their ends and traded days."""
-    s = lb.sequences(bar_panel(spark, sf_dir), ["turnover"], 5).join(F.broadcast(calendar(spark, sf_dir)), "t")
+    s = lb.sequences(bar_panel(spark, sf_dir, fields=("turnover", "is_trading")), ["turnover"], 5).join(F.broadcast(calendar(spark, sf_dir)), "t")
     traded = F.aggregate("steps", F.lit(0.0).cast("float"), lambda z, x: (z + x["traded"]).cast("float")).cast("int")
     return s.select("trade_date", "code", (F.round(F.col("steps")[0]["turnover"].cast("double"), 4) + 0.0).alias("first_turnover"), (F.round(F.col("steps")[4]["turnover"].cast("double"), 4) + 0.0).alias("last_turnover"), traded.alias("traded"))
 
@@ -255,7 +255,7 @@ def _ln(c: str) -> str:
 @query(PANEL_SQL + f"select trade_date, code, round(case when count(pct_chg) over w20 = 20 then exp(sum({_ln('pct_chg')}) over w20) - 1 end, 6) + 0.0 as momentum_20d, round(case when count(pct_chg) over w20 = 20 then stddev_samp(pct_chg / 100) over w20 end, 6) + 0.0 as volatility_20d, round(case when count(turnover) over w20 = 20 then avg(turnover) over w20 end, 6) + 0.0 as turnover_mean_20d, round(case when total_mv > 0 then ln(total_mv) end, 6) + 0.0 as log_total_mv from panel {FRAMES}")
 def trailing_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Momentum, volatility, mean turnover of twenty sessions, size."""
-    return rounded(_styles(bar_panel(spark, sf_dir)).select("trade_date", "code", "momentum_20d", "volatility_20d", "turnover_mean_20d", "log_total_mv"), ["trade_date", "code"])
+    return rounded(_styles(bar_panel(spark, sf_dir, fields=("pct_chg", "turnover", "total_mv"))).select("trade_date", "code", "momentum_20d", "volatility_20d", "turnover_mean_20d", "log_total_mv"), ["trade_date", "code"])
 
 
 def _styles(x: DataFrame) -> DataFrame:
@@ -267,7 +267,7 @@ _REGIME = PANEL_SQL + ", d as (select t, avg(pct_chg) / 100 as mkt from bars gro
 
 
 def _regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = bars(spark, sf_dir).groupBy("t").agg((F.avg("pct_chg") / 100).alias("mkt"))
+    d = bars(spark, sf_dir, ("pct_chg",)).groupBy("t").agg((F.avg("pct_chg") / 100).alias("mkt"))
     w = W.orderBy("t").rowsBetween(-19, 0)  # one row a date
     m20 = F.when(F.count("mkt").over(w) == 20, F.avg("mkt").over(w))
     return d.select("t", F.when(m20 > 0.001, "bull").when(m20 < -0.001, "bear").when(m20.isNull(), "unavailable").otherwise("neutral").alias("regime"))
@@ -291,13 +291,13 @@ def cumulative_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A price index from daily changes, missing ones as none; the open scaled by open over close."""
     run = o.along().rowsBetween(W.unboundedPreceding, 0)
     c = 100 * F.exp(F.sum(F.coalesce(F.log1p(F.col("pct_chg") / 100), F.lit(0.0))).over(run))
-    return rounded(bar_panel(spark, sf_dir).select("trade_date", "code", c.alias("close_index"), (c * o.div(F.col("open"), F.col("close"))).alias("open_index")), ["trade_date", "code"], 8)
+    return rounded(bar_panel(spark, sf_dir, fields=("pct_chg", "open", "close")).select("trade_date", "code", c.alias("close_index"), (c * o.div(F.col("open"), F.col("close"))).alias("open_index")), ["trade_date", "code"], 8)
 
 
 @query(EVENT_SQL + "select t, code, " + r6("score - lag(score) over (partition by code order by t)", "jump") + " from e")
 def event_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change of the score since the code's event row before, however long ago."""
-    e = event_table(spark, sf_dir)
+    e = event_table(spark, sf_dir, "score")
     return rounded(e.select("t", "code", (F.col("score") - F.lag("score").over(o.along())).alias("jump")), ["t", "code"])
 
 
@@ -306,7 +306,7 @@ _EXR = FINAL_SQL + ", x as (select *, case when adj is not null and lag(adj) ove
 
 def _ex_right(spark: SparkSession, sf_dir: str) -> DataFrame:
     prev = o.delay(F.col("adj"), 1)
-    x = bar_panel(spark, sf_dir, hindsight=True).withColumn("ex_right", F.when(F.col("adj").isNotNull() & prev.isNotNull(), F.abs(F.col("adj") - prev) > 1e-12))
+    x = bar_panel(spark, sf_dir, hindsight=True, fields=("open", "close", "open_h", "close_h", "adj")).withColumn("ex_right", F.when(F.col("adj").isNotNull() & prev.isNotNull(), F.abs(F.col("adj") - prev) > 1e-12))
     ret = lambda c, e: o.div(o.lead(F.col(c), 2), o.lead(F.col(e), 1)) - 1
     return x.withColumns({"in_window": F.bool_or("ex_right").over(o.along().rowsBetween(1, 2)), "raw": ret("close", "open"), "hfq": ret("close_h", "open_h")})
 
@@ -334,7 +334,7 @@ x as (select t, trade_date, code, last, coalesce(lead(at_touch, 2) over wt, firs
 @query(_EXIT_SQL + "select x.trade_date, x.code, ex.t as exit_t, round(ex.price, 6) + 0.0 as exit_price, ex.kind as exit_kind, touch_sealed, coalesce(z.halts > h1, false) as met_suspension, coalesce(z.blinds > b1, false) as met_missing_limit from x left join s z on z.code = x.code and z.t = case when x.t + 2 <= x.last then coalesce(ex.t, x.last) end")
 def realistic_exit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sale of a position bought next session: two sessions on, or later if sealed at the limit or halted."""
-    x = bar_panel(spark, sf_dir, hindsight=True).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
+    x = bar_panel(spark, sf_dir, hindsight=True, fields=("pre_close", "open", "high", "close", "open_h", "close_h", "is_trading")).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
     return rounded(p.deferred_exit(x).select("trade_date", "code", "exit_t", "exit_price", "exit_kind", "touch_sealed", "met_suspension", "met_missing_limit"), ["trade_date", "code", "exit_t", "exit_kind", "touch_sealed", "met_suspension", "met_missing_limit"])
 
 
@@ -383,7 +383,7 @@ s as (select h, t, count(*) as n, sum(a * b) - sum(a) * sum(b) / count(*) as c,
 select cast(h as int) as h, round(avg(c / sqrt(va * vb)), 6) + 0.0 as ic_mean, count(*) as n_days from s where n >= 5 and va > 1e-12 and vb > 1e-12 group by h""")
 def horizon_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean rank IC of the score against returns of one to ten sessions."""
-    fwd = a.horizon_returns(event_table(spark, sf_dir).select("t", "code", "score"), bar_panel(spark, sf_dir, hindsight=True))
+    fwd = a.horizon_returns(event_table(spark, sf_dir, "score").select("t", "code", "score"), bar_panel(spark, sf_dir, hindsight=True, fields=("close_h",)))
     ic = m.daily_ic(fwd, "score", "fwd", by=("h",)).where("ic is not null")
     return rounded(ic.groupBy("h").agg(F.avg("ic").alias("ic_mean"), F.count("ic").alias("n_days")), ["h", "n_days"])
 
@@ -394,7 +394,7 @@ _K = 4
 @query(ranked_sql() + ", f as (select *, case when feat_b is not null and rank is not null then row_number() over (partition by t, feat_b is not null and rank is not null order by rank) end as fill_rank from k) select 'as_is' as view, count(y) as n, round(avg(y), 6) + 0.0 as hit, round(avg(ret), 6) + 0.0 as ret from f where rank <= 4 union all select 'filled', count(y), round(avg(y), 6) + 0.0, round(avg(ret), 6) + 0.0 from f where rank <= 4 and feat_b is not null union all select 'deeper', count(y), round(avg(y), 6) + 0.0, round(avg(ret), 6) + 0.0 from f where fill_rank <= 4")
 def fill_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The picks as they are, those that can be filled, and the queue walked deeper."""
-    x = m.ranked(event_table(spark, sf_dir), "score").withColumn("_ok", F.col("feat_b").isNotNull() & F.col("rank").isNotNull())
+    x = m.ranked(event_table(spark, sf_dir, "score", "y", "ret", "feat_b"), "score").withColumn("_ok", F.col("feat_b").isNotNull() & F.col("rank").isNotNull())
     x = x.withColumn("fill_rank", F.when(F.col("_ok"), F.row_number().over(W.partitionBy("t", "_ok").orderBy("rank"))))
     views = {"as_is": F.col("rank") <= _K, "filled": (F.col("rank") <= _K) & F.col("feat_b").isNotNull(), "deeper": F.col("fill_rank") <= _K}
     each = F.explode(F.array_compact(F.array(*[F.when(c, n) for n, c in views.items()])))
@@ -405,7 +405,7 @@ def fill_views(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ranked_sql() + ", x as (select t, code, score, rank, row_number() over (partition by t order by score, code) as r, count(score) over (partition by t) as n from k where score is not null), q as (select t, greatest(1, (5 * (r - 1) + n - 2) // (n - 1)) as bin, code from x where n > 1), s as (select bin, t, list(code) as s from q group by 1, 2) select cast(bin as int) as bin, round(avg(1 - len(list_intersect(s, p)) / len(s)), 6) + 0.0 as turnover from (select *, lag(s) over (partition by bin order by t) as p from s) where p is not null group by 1")
 def quintile_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean share of new names in each quintile of the score."""
-    x = event_table(spark, sf_dir).withColumn("bin", o.quantile_bin(F.col("score"))).where("bin is not null")
+    x = event_table(spark, sf_dir, "score").withColumn("bin", o.quantile_bin(F.col("score"))).where("bin is not null")
     s = x.groupBy("bin", "t").agg(F.collect_set("code").alias("s")).withColumn("p", F.lag("s").over(W.partitionBy("bin").orderBy("t"))).where("p is not null")
     return rounded(s.groupBy("bin").agg(F.avg(1 - F.size(F.array_intersect("s", "p")) / F.size("s")).alias("turnover")), ["bin"])
 
@@ -416,7 +416,7 @@ def quintile_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENT_SQL + ", c as (select t, code, feat_a as y, feat_b as x from e where feat_a is not null and feat_b is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual", 9) + " from e left join v using (t, code) where e.t in (select t from s where n > 2)")
 def style_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each date's least-squares residual of a feature on another, dates of three complete rows or more."""
-    e = event_table(spark, sf_dir)
+    e = event_table(spark, sf_dir, "feat_a", "feat_b")
     n = F.count_if(F.col("feat_a").isNotNull() & F.col("feat_b").isNotNull()).over(o.across())
     return rounded(a.residualize(e.withColumn("_n", n).where("_n > 2"), "feat_a", ["feat_b"]).select("t", "code", "residual"), ["t", "code"], 9)
 
@@ -424,7 +424,7 @@ def style_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EVENT_SQL + ", k as (select t, code, case when score is not null then row_number() over (partition by t order by score nulls last, code) / count(score) over (partition by t) end as y, case when feat_a is not null then row_number() over (partition by t order by feat_a nulls last, code) / count(feat_a) over (partition by t) end as x from e), c as (select * from k where x is not null and y is not null), s as (select *, avg(x) over w as mx, avg(y) over w as my, regr_slope(y, x) over w as b, count(*) over w as n from c window w as (partition by t)), z as (select t, code, n, y, y - my - b * (x - mx) as res from s), v as (select *, sum(res * res) over (partition by t) > 1e-12 * sum(y * y) over (partition by t) as rest from z) select e.t, e.code, " + r6("case when n > 2 and rest then res end", "residual", 9) + " from e left join v using (t, code) where e.t in (select t from s where n > 5)")
 def rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The score's ranks cleaned of another feature's, dates of more than five complete rows."""
-    e = event_table(spark, sf_dir)
+    e = event_table(spark, sf_dir, "score", "feat_a")
     n = F.count_if(F.col("score").isNotNull() & F.col("feat_a").isNotNull()).over(o.across())
     return rounded(a.rank_residual(e.withColumn("_n", n).where("_n > 5"), "score", ["feat_a"]).select("t", "code", "residual"), ["t", "code"], 9)
 
@@ -433,8 +433,8 @@ def rank_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
 def style_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The largest remaining correlation of the style-neutral score with each style on any date: all but zero."""
     styles = ["momentum_20d", "volatility_20d", "turnover_mean_20d", "log_total_mv"]
-    s = _styles(bar_panel(spark, sf_dir)).select("t", "code", *styles)
-    x, names = a.style_design(event_table(spark, sf_dir).select("t", "code", "score").join(s, ["t", "code"], "left"), styles)
+    s = _styles(bar_panel(spark, sf_dir, fields=("pct_chg", "turnover", "total_mv"))).select("t", "code", *styles)
+    x, names = a.style_design(event_table(spark, sf_dir, "score").select("t", "code", "score").join(s, ["t", "code"], "left"), styles)
     return a.exposure(a.residualize(x, "score", names), "residual", names).select("x", F.round("worst", 6).alias("worst"))
 
 
@@ -450,7 +450,7 @@ _PERM_SQL = EVENT_SQL + f", pr as (select unnest(range({_PERMS})) as perm), q as
 @query(_PERM_SQL + "select cast(perm as int) as perm, count(*) as n, cast(sum(yp) as bigint) as positives, round(avg(case when yp = y then 1.0 else 0.0 end), 6) + 0.0 as same from q group by 1")
 def placebo_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels shuffled within dates: counts stay, positions don't."""
-    x = a.permuted(event_table(spark, sf_dir), "y", "event_id", _PERMS).groupBy("perm")
+    x = a.permuted(event_table(spark, sf_dir, "event_id", "y"), "y", "event_id", _PERMS).groupBy("perm")
     x = x.agg(F.count(F.lit(1)).alias("n"), F.sum("y_perm").cast("bigint").alias("positives"), F.avg((F.col("y_perm") == F.col("y")).cast("double")).alias("same"))
     return rounded(x, ["perm", "n", "positives"])
 
@@ -466,7 +466,7 @@ f as (select factor, perm, abs(avg(ic)) as ic_mean, abs(avg(ic) / stddev_samp(ic
 
 
 def _null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return a.placebo_null(event_table(spark, sf_dir), ["score", "feat_a"], "y", "event_id", _PERMS)
+    return a.placebo_null(event_table(spark, sf_dir, "event_id", "y", "score", "feat_a"), ["score", "feat_a"], "y", "event_id", _PERMS)
 
 
 @query(_null_sql() + "select cast(perm as int) as perm, " + ", ".join(r6(c, c) for c in ("ic_mean", "icir", "gini")) + " from nl")
@@ -514,7 +514,7 @@ def placebo_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ranked_sql() + "select trade_date, code, cast(rank as int) as rank, round(score, 6) + 0.0 as score from k where t = (select max(t) from k) and rank is not null")
 def live_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last date's names by score."""
-    e = event_table(spark, sf_dir)
+    e = event_table(spark, sf_dir, "score")
     last = e.agg(F.max("t").alias("t"))
     return m.ranked(e.join(F.broadcast(last), "t"), "score").where("rank is not null").select("trade_date", "code", "rank", (F.round("score", 6) + 0.0).alias("score"))
 

@@ -54,7 +54,7 @@ _TARGET = f"(select * replace (case when ret is not null and y > 0 then 0.03 els
 @query(_BT.replace(" from k group by t having", f" from {_TARGET} group by t having") + "select t, n_available, n_executed, " + ", ".join(r6(c, c, 8) for c in ("hit_rate", "base_rate", "gross_return", "net_return", "portfolio_return")) + " from d")
 def backtest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The daily book when picks that hit are sold at the target, others at the close."""
-    return rounded(p.backtest(event_table(spark, sf_dir), "score", "ret", "y", _K, BUY, SELL, 2, target=0.03), ["t", "n_available", "n_executed"], 8)
+    return rounded(p.backtest(event_table(spark, sf_dir, "score", "ret", "y"), "score", "ret", "y", _K, BUY, SELL, 2, target=0.03), ["t", "n_available", "n_executed"], 8)
 
 
 @query("""
@@ -80,8 +80,8 @@ l as (select *, close2 / entry - 1 as baseline, case when status = 'sold' then e
 
 
 def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = bar_panel(spark, sf_dir, hindsight=True).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
-    return lg.ledger(event_table(spark, sf_dir).select("t", "code", "score"), "score", _K, x)
+    x = bar_panel(spark, sf_dir, hindsight=True, fields=("pre_close", "open", "high", "close", "open_h", "close_h", "is_trading")).withColumns({"down_limit": F.rint(F.col("pre_close") * 90) / 100, "limit_observed": F.col("pre_close").isNotNull()})
+    return lg.ledger(event_table(spark, sf_dir, "score").select("t", "code", "score"), "score", _K, x)
 
 
 @query(_LEDGER + "select t, code, cast(rank as int) as rank, status, exit_t, exit_kind, " + ", ".join(r6(c, n) for c, n in (("entry", "entry_price"), ("close2", "close_price"), ("exit_price", "exit_price"), ("baseline", "baseline"), ("realistic", "realistic"))) + " from l")
@@ -114,7 +114,7 @@ select arm as score, cost, cast(h as int) as h, count(v) as n_days, round(avg(v)
 @query(_ARMS)
 def paired_books(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Books of two scores, two costs and ten horizons over the same dates."""
-    x = lg.paired_books(event_table(spark, sf_dir), bar_panel(spark, sf_dir, hindsight=True), ["score", "feat_a"], [0.0, 0.001], _K)
+    x = lg.paired_books(event_table(spark, sf_dir, "score", "feat_a"), bar_panel(spark, sf_dir, hindsight=True, fields=("close_h",)), ["score", "feat_a"], [0.0, 0.001], _K)
     r8 = lambda c, n: (F.round(c, n) + 0.0).alias(c)
     return x.select("score", "cost", "h", "n_days", r8("mean", 8), r8("std", 8), r8("ir", 6), r8("execution_rate", 6))
 
@@ -128,7 +128,7 @@ select count(*) as n_picks, count(raw) as n_raw, count(hfq) as n_hfq, round(avg(
 def basis_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One frozen selection, its digest, and its outcome on raw and on adjusted prices."""
     h = _ex_right(spark, sf_dir).select("t", "code", "raw", "hfq")
-    picks = m.ranked(event_table(spark, sf_dir).select("t", "code", "score"), "score").where(F.col("rank") <= _K)
+    picks = m.ranked(event_table(spark, sf_dir, "score").select("t", "code", "score"), "score").where(F.col("rank") <= _K)
     names = F.transform(F.sort_array(F.collect_list(F.struct("t", "rank", "code"))), lambda x: F.concat_ws("|", x["t"], x["code"]))  # k rows a date
     x = picks.join(h, ["t", "code"], "left").agg(F.count(F.lit(1)).alias("n_picks"), F.count("raw").alias("n_raw"), F.count("hfq").alias("n_hfq"), F.avg("raw").alias("mean_raw"), F.avg("hfq").alias("mean_hfq"), F.sha2(F.concat_ws(",", names), 256).alias("digest"))
     return rounded(x, ["n_picks", "n_raw", "n_hfq", "digest"])
@@ -150,7 +150,7 @@ _DAY_COLS = ("hit_ic", "close_ic", "gini", "top_gross", "top_net", "wide_gross",
 
 
 def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return d.daily_diagnostics(event_table(spark, sf_dir), "score", "ret", "y", _K, cost=0.001)
+    return d.daily_diagnostics(event_table(spark, sf_dir, "score", "ret", "y"), "score", "ret", "y", _K, cost=0.001)
 
 
 @query(_DAYS + "select t, " + ", ".join(r6(c, c, 9) for c in _DAY_COLS) + " from days")
@@ -206,7 +206,7 @@ def library_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
 s as (select t, case when count(*) >= 5 and stddev_pop(a) > 1e-9 and stddev_pop(b) > 1e-9 then corr(a, b) end as ic from q group by t) select d.t, """ + r6("ic", "ic") + " from (select distinct t from e) d left join s using (t)")
 def ic_average_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank IC of the score and the hit, with ties at their mean rank."""
-    return rounded(d.average_tie_ic(event_table(spark, sf_dir), "score", "y"), ["t"])
+    return rounded(d.average_tie_ic(event_table(spark, sf_dir, "score", "y"), "score", "y"), ["t"])
 
 
 @query(EVENT_SQL + """, c as (select substr(trade_date, 1, 6) as month, count(*) as n, corr(score, ret) as r from e where score is not null and ret is not null group by 1),
@@ -215,7 +215,7 @@ i as (select month, sum(case when k in (0, 4000) then 1 when k % 2 = 1 then 4 el
 select month, n, round(r, 6) + 0.0 as r, round(2 * area / exp(lgamma((n - 2) / 2) + lgamma(0.5) - lgamma((n - 1) / 2)), 6) + 0.0 as p from c left join i using (month)""")
 def correlation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlation of score and outcome by month, with its p-value."""
-    e = event_table(spark, sf_dir).where("score is not null and ret is not null").withColumn("month", F.substring("trade_date", 1, 6))
+    e = event_table(spark, sf_dir, "score", "ret").where("score is not null and ret is not null").withColumn("month", F.substring("trade_date", 1, 6))
     return rounded(d.correlation_test(e, "score", "ret", "month"), ["month", "n"])
 
 
@@ -226,9 +226,9 @@ _PCT = "case when turnover is not null then (rank() over (partition by t order b
 round(avg(case when pct <= 0.1 then 1.0 when pct > 0.1 then 0.0 end), 6) + 0.0 as bottom_decile, round(median(pct), 6) + 0.0 as median_liquidity from k left join liq using (t, code) left join bars nx on nx.code = k.code and nx.t = k.t + 1 where rank <= {_K}""")
 def pick_feasibility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the picks lacked, and how liquid they were among their date's bars."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir, ("open", "turnover"))
     liquid = b.select("t", "code", o.cs_pct_rank(F.col("turnover")).alias("pct"))
-    picks = m.ranked(event_table(spark, sf_dir), "score").where(F.col("rank") <= _K).select("t", "code", "ret").join(liquid, ["t", "code"], "left")
+    picks = m.ranked(event_table(spark, sf_dir, "score", "ret"), "score").where(F.col("rank") <= _K).select("t", "code", "ret").join(liquid, ["t", "code"], "left")
     return rounded(d.feasibility(r.at_offset(picks, b, F.lit(1), ["open"]), "ret", "open_at", "pct"), ["picks"])
 
 
@@ -239,8 +239,8 @@ select cast(bin as int) as bin, count(*) as n, round(avg(y), 6) + 0.0 as hit_rat
 def quintile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quintiles of the score: hits, peak, close and what was given back between, liquidity, turnover."""
     entry = o.lead(F.col("open_h"), 1)
-    fw = bar_panel(spark, sf_dir, hindsight=True).select("t", "code", o.cs_pct_rank(F.col("turnover")).alias("pct"), (o.div(o.lead(F.col("high_h"), 2), entry) - 1).alias("peak"), (o.div(o.lead(F.col("close_h"), 2), entry) - 1).alias("close"))
-    x = event_table(spark, sf_dir).select("t", "code", "score", "y").join(fw, ["t", "code"], "left")
+    fw = bar_panel(spark, sf_dir, hindsight=True, fields=("turnover", "open_h", "high_h", "close_h")).select("t", "code", o.cs_pct_rank(F.col("turnover")).alias("pct"), (o.div(o.lead(F.col("high_h"), 2), entry) - 1).alias("peak"), (o.div(o.lead(F.col("close_h"), 2), entry) - 1).alias("close"))
+    x = event_table(spark, sf_dir, "score", "y").select("t", "code", "score", "y").join(fw, ["t", "code"], "left")
     return rounded(d.bin_profile(x, "score", "y", "peak", "close", "pct"), ["bin", "n"])
 
 
@@ -248,7 +248,7 @@ def quintile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 select cast(off as int) as "offset", count(*) as n, count(*) filter (where z.halted) as hits from h cross join (select unnest(generate_series(-10, 20)) as off) join h z on z.code = h.code and z.t = h.t + off where h.mark group by 1""")
 def halt_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around the first day of each halt, how many names don't trade; the day itself is the control."""
-    x = bar_panel(spark, sf_dir).select("t", "code", (~F.col("is_trading")).alias("halted"), (~F.col("is_trading") & o.delay(F.col("is_trading"), 1)).alias("mark"))
+    x = bar_panel(spark, sf_dir, fields=("is_trading",)).select("t", "code", (~F.col("is_trading")).alias("halted"), (~F.col("is_trading") & o.delay(F.col("is_trading"), 1)).alias("mark"))
     return d.offset_profile(x.where("mark"), x, "halted", -10, 20)
 
 
@@ -258,7 +258,7 @@ _MOVED = ("feat_a", "feat_b", "y")
 @query(EVENT_SQL + f", s as (select *, row_number() over (partition by t order by code, event_id) as i, row_number() over (partition by t order by {_h_sql('event_id', '0', 't')}, event_id) as j from e) select s.t, s.code, " + ", ".join(r6(f"z.{c}", c) for c in _MOVED) + " from s join s z on z.t = s.t and z.j = s.i")
 def shuffled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several columns exchanged within dates by one permutation."""
-    x = event_table(spark, sf_dir).select("t", "code", "event_id", *_MOVED)
+    x = event_table(spark, sf_dir, "event_id", "feat_a", "feat_b", "y").select("t", "code", "event_id", *_MOVED)
     return rounded(d.shuffled_rows(x, list(_MOVED), "event_id").select("t", "code", *_MOVED), ["t", "code"])
 
 
@@ -274,28 +274,28 @@ def window_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PANEL_SQL + "select substr(trade_date, 1, 6) as month, count(x) as n, count(*) filter (where x > 0.011) as n_off, round(max(x), 6) + 0.0 as worst from (select trade_date, abs(pct_chg - 100 * (close / pre_close - 1)) as x from bars) group by 1")
 def derived_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated daily changes against those of the stated prices, by month."""
-    b = bars(spark, sf_dir).withColumn("month", F.substring("trade_date", 1, 6))
+    b = bars(spark, sf_dir, ("pct_chg", "close", "pre_close")).withColumn("month", F.substring("trade_date", 1, 6))
     return rounded(g.derived_mismatch(b, "pct_chg", 100 * (F.col("close") / F.col("pre_close") - 1), 0.011, ["month"]), ["month", "n", "n_off"])
 
 
 @query(PANEL_SQL + ", c as (select trade_date, code, abs(pre_close - lag(close) over (partition by code order by t)) as x from panel) select substr(trade_date, 1, 6) as month, count(x) as n, count(*) filter (where x > 0.006) as n_off, round(max(x), 6) + 0.0 as worst from c group by 1")
 def price_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stated previous closes against the closes of the session before, by month."""
-    x = bar_panel(spark, sf_dir).withColumns({"before": o.delay(F.col("close"), 1), "month": F.substring("trade_date", 1, 6)})
+    x = bar_panel(spark, sf_dir, fields=("close", "pre_close")).withColumns({"before": o.delay(F.col("close"), 1), "month": F.substring("trade_date", 1, 6)})
     return rounded(g.derived_mismatch(x, "pre_close", F.col("before"), 0.006, ["month"]), ["month", "n", "n_off"])
 
 
 @query(PANEL_SQL + "select substr(trade_date, 1, 6) as month, count(*) as n_cells, count(distinct code) as n_codes from panel where close is not null and adj is null group by 1")
 def unadjusted_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices that no factor known by then adjusts, by month."""
-    x = g.unadjusted(bar_panel(spark, sf_dir)).groupBy(F.substring("trade_date", 1, 6).alias("month"))
+    x = g.unadjusted(bar_panel(spark, sf_dir, fields=("close", "adj"))).groupBy(F.substring("trade_date", 1, 6).alias("month"))
     return x.agg(F.count(F.lit(1)).alias("n_cells"), F.countDistinct("code").alias("n_codes"))
 
 
 @query(PANEL_SQL + ", top as (select code from bars group by code order by median(amount) desc nulls last, code limit 10) select trade_date, code, " + r6("close", "close") + " from bars where code in (select code from top)")
 def code_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bars of the ten most traded codes."""
-    b = bars(spark, sf_dir)
+    b = bars(spark, sf_dir, ("amount", "close"))
     return rounded(g.select_codes(b, r.top_liquid(b, "amount", 10)).select("trade_date", "code", "close"), ["trade_date", "code"])
 
 
@@ -303,14 +303,14 @@ def code_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcome_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event rows whose exit, two sessions on, is not after the cutoff, by month of the exit."""
     cal = calendar(spark, sf_dir)
-    x = lb.exit_before(event_table(spark, sf_dir), cal, 2, "20230630")
+    x = lb.exit_before(event_table(spark, sf_dir, "event_id"), cal, 2, "20230630")
     return x.groupBy(F.substring("exit_date", 1, 6).alias("exit_month")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(EVENT_SQL + "select event_id as source_key, t, code from e where score is not null and y is not null and ret is not null and feat_a is not null")
 def complete_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows with all that a fit needs, and where they came from."""
-    return g.complete_cases(event_table(spark, sf_dir), ["score", "y", "ret", "feat_a"], "event_id").select("source_key", "t", "code")
+    return g.complete_cases(event_table(spark, sf_dir, "event_id", "score", "y", "ret", "feat_a"), ["score", "y", "ret", "feat_a"], "event_id").select("source_key", "t", "code")
 
 
 _MARK = "contains(replace(upper({0}), ' ', ''), 'ST')"
@@ -324,7 +324,7 @@ def name_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = table(spark, sf_dir, "namechange").withColumn("code", norm_code("ts_code"))
     now = table(spark, sf_dir, "stock_basic").where("loaded_at is not null").groupBy(norm_code("ts_code").alias("code")).agg(F.max_by(F.struct("stock_name"), "loaded_at").alias("v"))
     now = now.select("code", marked(F.col("v.stock_name")).alias("flagged"))
-    e = event_table(spark, sf_dir).select("trade_date", "code")
+    e = event_table(spark, sf_dir, "event_id").select("trade_date", "code")
     return r.interval_any(e, names, key="code", at="trade_date", start="start_date", end="end_date", flag=marked(F.col("stock_name")), name="flagged", current=now)
 
 
@@ -354,9 +354,9 @@ _NEUTRAL = _gram_schmidt()
 
 
 def _neutral(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
-    styles = _styles(bar_panel(spark, sf_dir)).select("t", "code", *_STYLES)
+    styles = _styles(bar_panel(spark, sf_dir, fields=("pct_chg", "turnover", "total_mv"))).select("t", "code", *_STYLES)
     market = table(spark, sf_dir, "stock_basic").where("loaded_at is not null").groupBy(norm_code("ts_code").alias("code")).agg(F.max_by(F.struct("market"), "loaded_at").alias("v")).select("code", "v.market")
-    e = event_table(spark, sf_dir).select("t", "code", "score", "ret").join(styles, ["t", "code"], "left").join(market, "code", "left")
+    e = event_table(spark, sf_dir, "score", "ret").select("t", "code", "score", "ret").join(styles, ["t", "code"], "left").join(market, "code", "left")
     x, names = a.style_design(e, list(_STYLES), "market")
     full = F.col("score").isNotNull()
     for c in (*_STYLES, "market"):

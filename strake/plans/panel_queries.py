@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ops as o
 from ..functions.base_fields import base_fields
-from ..functions.expr import compile_text
+from ..functions.expr import compile_text, parse
 from ..operators import metrics as m
 from ..operators import portfolio as p
 from ..sources.panel import EVENT_FIELDS, EVENT_SQL, PANEL_SQL, bar_panel, densify, event_table
@@ -40,8 +40,10 @@ def r6(sql: str, name: str, digits: int = 6) -> str:
 
 
 def _panel_query(name: str, build, sql: str, digits: int = 6) -> None:
+    fields = tuple(n.name for n in parse(build).walk() if not n.args) if isinstance(build, str) else ("turnover", "close")
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = bar_panel(spark, sf_dir)
+        x = bar_panel(spark, sf_dir, fields=fields)
         v = compile_text(build, x.columns) if isinstance(build, str) else build()
         return rounded(x.select("trade_date", "code", v.alias("value")), ["trade_date", "code"], digits)
 
@@ -127,14 +129,14 @@ def panel_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(PANEL_SQL + "select t, count(*) as cells, count(close) as filled, cast(sum(case when is_trading then 1 else 0 end) as bigint) as trading from panel group by t")
 def panel_densify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of the dense panel per date: all, with a bar, trading."""
-    x = densify(panel_bar_rows(spark, sf_dir), session_calendar(spark, sf_dir))
+    x = densify(panel_bar_rows(spark, sf_dir, ("close", "vol")), session_calendar(spark, sf_dir))
     return x.groupBy("t").agg(F.count(F.lit(1)).alias("cells"), F.count("close").alias("filled"), F.count_if(F.col("close").isNotNull() & (F.coalesce("vol", F.lit(0.0)) > 0)).alias("trading"))
 
 
 @query(PANEL_SQL + "select trade_date, code, " + r6("adj", "adj") + ", " + r6("close_h", "close_h") + " from panel")
 def panel_adjusted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prices times the factor in force."""
-    return rounded(bar_panel(spark, sf_dir).select("trade_date", "code", "adj", "close_h"), ["trade_date", "code"])
+    return rounded(bar_panel(spark, sf_dir, fields=("adj", "close_h")).select("trade_date", "code", "adj", "close_h"), ["trade_date", "code"])
 
 
 _FIELDS_SQL = f"""{PANEL_SQL},
@@ -146,7 +148,7 @@ c as (select *, {pdiv('abs(ret1)', 'amt')} as illiq from b),
 
 def _field_query(name: str, fields: dict[str, str], digits: int = 9) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        x = bar_panel(spark, sf_dir)
+        x = bar_panel(spark, sf_dir, fields=("open_h", "high_h", "low_h", "close_h", "pre_close", "close", "amount", "turnover"))
         f = base_fields(x.columns, F.rint(F.col("pre_close") * 110) / 100)
         return rounded(x.select("trade_date", "code", *[f[n].alias(n) for n in fields]), ["trade_date", "code"], digits)
 
@@ -179,13 +181,13 @@ def ic_sql(x: str, y: str) -> str:
 @query(ic_sql("feat_a", "ret") + "select t, round(ic, 6) + 0.0 as ic, n from i")
 def daily_ic(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank IC of a feature and the later return, per date."""
-    return rounded(m.daily_ic(event_table(spark, sf_dir), "feat_a", "ret"), ["t", "n"])
+    return rounded(m.daily_ic(event_table(spark, sf_dir, "feat_a", "ret"), "feat_a", "ret"), ["t", "n"])
 
 
 @query(EVENT_SQL + "select t, round(case when count(ret) filter (where feat_a is not null) >= 5 and not isnan(corr(feat_a, ret)) then corr(feat_a, ret) end, 6) + 0.0 as ic from e group by t")
 def daily_ic_pearson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson IC per date."""
-    return rounded(m.daily_ic(event_table(spark, sf_dir), "feat_a", "ret", method="pearson").select("t", "ic"), ["t"])
+    return rounded(m.daily_ic(event_table(spark, sf_dir, "feat_a", "ret"), "feat_a", "ret", method="pearson").select("t", "ic"), ["t"])
 
 
 _IC_SUMMARY = "avg(ic) as ic_mean, stddev_samp(ic) as ic_std, avg(ic) / stddev_samp(ic) as icir, avg(ic) / stddev_samp(ic) * sqrt(252) as icir_ann, avg(ic) / stddev_samp(ic) * sqrt(count(ic)) as t_stat, avg(case when ic > 0 then 1.0 when ic <= 0 then 0.0 end) as positive_rate, count(ic) as n_days, count(ic) / count(*) as coverage"
@@ -195,13 +197,13 @@ _IC_OUT = ", ".join(r6(c, c) for c in ("ic_mean", "ic_std", "icir", "icir_ann",
 @query(ic_sql("feat_b", "ret") + f", z as (select {_IC_SUMMARY} from i) select {_IC_OUT} from z")
 def ic_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, information ratio, t and share of positive dates of an IC series."""
-    return rounded(m.summarize_ic(m.daily_ic(event_table(spark, sf_dir), "feat_b", "ret")), ["n_days"])
+    return rounded(m.summarize_ic(m.daily_ic(event_table(spark, sf_dir, "feat_b", "ret"), "feat_b", "ret")), ["n_days"])
 
 
 @query("select * from (" + ic_sql("score", "y") + f", z as (select 'y' as target, {_IC_SUMMARY} from i) select target, {_IC_OUT} from z) union all select * from (" + ic_sql("score", "ret") + f", z as (select 'ret' as target, {_IC_SUMMARY} from i) select target, {_IC_OUT} from z)")
 def ic_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IC summaries of the score against several outcomes."""
-    return rounded(m.ic_report(event_table(spark, sf_dir), "score", ["y", "ret"]), ["target", "n_days"])
+    return rounded(m.ic_report(event_table(spark, sf_dir, "score", "y", "ret"), "score", ["y", "ret"]), ["target", "n_days"])
 
 
 _AUC_SQL = EVENT_SQL + """, r as (select t, y, cast(row_number() over (partition by t order by score, code) as double) as k from e where score is not null and y is not null),
@@ -213,7 +215,7 @@ a as (select d.t, case when n >= 5 and p > 0 and p < n then (s - p * (p + 1) / 2
 @query(_AUC_SQL + "select t, round(auc, 6) + 0.0 as auc, round(2 * auc - 1, 6) + 0.0 as gini from a")
 def daily_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AUC and gini of the score per date."""
-    return rounded(m.daily_auc(event_table(spark, sf_dir), "score").withColumn("gini", 2 * F.col("auc") - 1), ["t"])
+    return rounded(m.daily_auc(event_table(spark, sf_dir, "score", "y"), "score").withColumn("gini", 2 * F.col("auc") - 1), ["t"])
 
 
 _DAILY_SUMMARY = "select round(avg(v), 6) + 0.0 as mean, round(stddev_samp(v), 6) + 0.0 as std, round(avg(v) / stddev_samp(v), 6) + 0.0 as ir, count(v) as n_days, round(count(v) / count(*), 6) + 0.0 as coverage from (select 2 * auc - 1 as v from a)"
@@ -222,7 +224,7 @@ _DAILY_SUMMARY = "select round(avg(v), 6) + 0.0 as mean, round(stddev_samp(v), 6
 @query(_AUC_SQL + _DAILY_SUMMARY)
 def gini_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean gini over dates."""
-    return rounded(m.summarize_daily(m.daily_gini(event_table(spark, sf_dir), "score"), "gini"), ["n_days"])
+    return rounded(m.summarize_daily(m.daily_gini(event_table(spark, sf_dir, "score", "y"), "score"), "gini"), ["n_days"])
 
 
 def ranked_sql(score: str = "score", where: str = "true") -> str:
@@ -232,19 +234,19 @@ def ranked_sql(score: str = "score", where: str = "true") -> str:
 @query(ranked_sql() + "select t, round(case when count(y) filter (where rank <= 10) = 10 then avg(y) filter (where rank <= 10) end, 6) + 0.0 as precision, round(avg(y), 6) + 0.0 as base from k group by t")
 def precision_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of hits among the ten best-scored names, and the base rate, per date."""
-    return rounded(m.precision_at_k(event_table(spark, sf_dir), "score", 10), ["t"])
+    return rounded(m.precision_at_k(event_table(spark, sf_dir, "score", "y"), "score", 10), ["t"])
 
 
 @query(ranked_sql() + ", q as (select case when count(y) filter (where rank <= 10) = 10 then avg(y) filter (where rank <= 10) end as p, avg(y) as b from k group by t) select round(avg(p / b) filter (where b > 0), 6) + 0.0 as lift, count(*) filter (where p is not null and b > 0) as n_days from q")
 def lift_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean lift of the ten best-scored names."""
-    return rounded(m.lift_at_k(event_table(spark, sf_dir), "score", 10), ["n_days"])
+    return rounded(m.lift_at_k(event_table(spark, sf_dir, "score", "y"), "score", 10), ["n_days"])
 
 
 @query(ranked_sql() + ", q as (select count(score) as n, sum(coalesce(y, 0)) filter (where rank <= 10) as h, sum(y) as s, count(y) as c from k group by t) select round(sum(h) filter (where n >= 10) / (10 * count(*) filter (where n >= 10)), 6) + 0.0 as hit_rate, round(sum(s) / sum(c), 6) + 0.0 as base_rate, round(sum(h) filter (where n >= 10) / (10 * count(*) filter (where n >= 10)) / (sum(s) / sum(c)), 6) + 0.0 as lift, round(avg(case when n >= 10 then 1.0 else 0.0 end), 6) + 0.0 as coverage from q")
 def top_k_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate with unobserved outcomes as misses, pooled base rate."""
-    return rounded(m.top_k_hit(event_table(spark, sf_dir), "score", 10), [])
+    return rounded(m.top_k_hit(event_table(spark, sf_dir, "score", "y"), "score", 10), [])
 
 
 _FACTORS = list(EVENT_FIELDS)
@@ -291,13 +293,13 @@ q as (select bin, count(*) as n, count(distinct t) as n_dates, count(y) as n_y,
 @query(_Q_SQL + "select cast(bin as int) as bin, n, n_dates, n_y, n_ret, round(mean_y, 6) + 0.0 as mean_y, round(mean_ret, 6) + 0.0 as mean_ret from q")
 def quintiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes by quintile of each date's scores."""
-    return rounded(m.quantile_table(event_table(spark, sf_dir), "score", ["y", "ret"]), ["bin", "n", "n_dates", "n_y", "n_ret"])
+    return rounded(m.quantile_table(event_table(spark, sf_dir, "score", "y", "ret"), "score", ["y", "ret"]), ["bin", "n", "n_dates", "n_y", "n_ret"])
 
 
 @query(_Q_SQL + ", r as (select bin, mean_ret, row_number() over (order by mean_ret, bin) as k from q) select round(max(mean_ret) filter (where bin = 5) - max(mean_ret) filter (where bin = 1), 6) + 0.0 as spread, round(corr(bin, k), 6) + 0.0 as rank_corr from r")
 def quintile_monotonicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spread and order of the quintiles' mean returns."""
-    return rounded(m.quantile_monotonicity(m.quantile_table(event_table(spark, sf_dir), "score", ["ret"]), "mean_ret"), [])
+    return rounded(m.quantile_monotonicity(m.quantile_table(event_table(spark, sf_dir, "score", "ret"), "score", ["ret"]), "mean_ret"), [])
 
 
 # portfolios
@@ -309,13 +311,13 @@ _PORT = ranked_sql() + f", d as (select t, case when count(rank) >= {_K} then co
 @query(_PORT + "select t, round(v, 8) + 0.0 as portfolio_return, executed from d")
 def topk_portfolio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily return of the four best-scored names, held two days."""
-    return rounded(p.top_k_portfolio(event_table(spark, sf_dir), "score", "ret", _K, 2), ["t", "executed"], 8)
+    return rounded(p.top_k_portfolio(event_table(spark, sf_dir, "score", "ret"), "score", "ret", _K, 2), ["t", "executed"], 8)
 
 
 @query(_PORT + f"select round(avg(v), 8) + 0.0 as mean, round(stddev_samp(v), 8) + 0.0 as std, round(avg(v) / stddev_samp(v), 8) + 0.0 as ir, round(avg(case when v > 0 then 1.0 when v <= 0 then 0.0 end), 8) + 0.0 as positive_rate, round(sum(executed) filter (where v is not null) / (count(v) * {_K}), 8) + 0.0 as execution_rate, round(count(v) / count(*), 8) + 0.0 as coverage, count(v) as n_days from d")
 def objective_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean, information ratio, execution and coverage of the portfolio."""
-    return rounded(p.summarize_objective(p.top_k_portfolio(event_table(spark, sf_dir), "score", "ret", _K, 2), _K), ["n_days"], 8)
+    return rounded(p.summarize_objective(p.top_k_portfolio(event_table(spark, sf_dir, "score", "ret"), "score", "ret", _K, 2), _K), ["n_days"], 8)
 
 
 _NET = "((1 + ret) * (1 - 0.0011) / (1 + 0.0006) - 1)"
@@ -324,7 +326,7 @@ _BT = ranked_sql() + f""", d as (select t, count(rank) as n_available, count(ret
 
 
 def _book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p.backtest(event_table(spark, sf_dir), "score", "ret", "y", _K, 0.0006, 0.0011, 2)
+    return p.backtest(event_table(spark, sf_dir, "score", "ret", "y"), "score", "ret", "y", _K, 0.0006, 0.0011, 2)
 
 
 @query(_BT + "select t, n_available, n_executed, " + ", ".join(r6(c, c, 8) for c in ("hit_rate", "base_rate", "gross_return", "net_return", "portfolio_return")) + " from d")
@@ -378,11 +380,11 @@ def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(ranked_sql() + f", s as (select t, list(code) as s from k where rank <= {_K} group by t) select t, case when lag(s) over (order by t) is not null then round(1 - len(list_intersect(s, lag(s) over (order by t))) / {_K}, 6) + 0.0 end as turnover from s")
 def selection_turnover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of picks that are new, per date."""
-    return rounded(p.turnover(event_table(spark, sf_dir), "score", _K), ["t"])
+    return rounded(p.turnover(event_table(spark, sf_dir, "score"), "score", _K), ["t"])
 
 
 @query(ranked_sql() + ", a as (select *, rank is not null and rank <= 20 and feat_a is not null as ok from k), b as (select *, case when ok then row_number() over (partition by t, ok order by rank) end as place from a) select t, count(*) filter (where place <= 4) as held, cast(max(rank) filter (where place <= 4) as int) as depth, round(coalesce(sum(ret) filter (where place <= 4), 0) / 4, 8) + 0.0 as portfolio_return from b group by t")
 def event_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Walk down a shortlist of twenty to four names that can be filled."""
-    e = event_table(spark, sf_dir).withColumn("fillable", F.col("feat_a").isNotNull())
+    e = event_table(spark, sf_dir, "score", "ret", "feat_a").withColumn("fillable", F.col("feat_a").isNotNull())
     return rounded(p.event_book(e, "score", "ret", "fillable", 20, 4), ["t", "held", "depth"], 8)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from ..common import finite, norm_code, plain_date, table
 
 BAR_FIELDS = ("open", "high", "low", "close", "pre_close", "pct_chg", "vol", "amount", "turnover", "total_mv")
+RAW = {"open": "raw_open", "high": "raw_high", "low": "raw_low", "close": "raw_close", "turnover": "turnover_rate_f"}
+PRICES = ("open", "high", "low", "close")
 
 
 def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +19,10 @@ def calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.select((F.row_number().over(W.orderBy("trade_date")) - 1).cast("int").alias("t"), "trade_date")
 
 
-def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(t, trade_date, code, fields): one bar a code and session, the latest delivery; not dense."""
+def bars(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = BAR_FIELDS) -> DataFrame:
+    """(t, trade_date, code, fields): one bar a code and session, the latest delivery; not dense. Only the fields are read."""
     raw = table(spark, sf_dir, "daily")
-    values = F.struct(*[finite(c).alias(n) for n, c in zip(BAR_FIELDS, ("raw_open", "raw_high", "raw_low", "raw_close", "pre_close", "pct_chg", "vol", "amount", "turnover_rate_f", "total_mv"))])
+    values = F.struct(*[finite(RAW.get(n, n)).alias(n) for n in BAR_FIELDS if n in fields])
     cal = F.broadcast(calendar(spark, sf_dir))
     return (
         raw.join(cal, "trade_date").groupBy("t", "trade_date", norm_code("ts_code").alias("code"))
@@ -43,30 +45,41 @@ def adjustment(spark: SparkSession, sf_dir: str, hindsight: bool = False) -> Dat
     return a.select(norm_code("ts_code").alias("code"), at.alias("at"), F.struct("trade_date", "as_of_time", "adj_id", F.col("adj_factor").alias("adj")).alias("record"))
 
 
-def bar_panel(spark: SparkSession, sf_dir: str, hindsight: bool = False) -> DataFrame:
-    """The dense panel with the adjustment factor and adjusted prices (``_h``), NULL without a factor.
+def bar_panel(spark: SparkSession, sf_dir: str, hindsight: bool = False, fields: tuple[str, ...] | None = None) -> DataFrame:
+    """The dense panel with the adjustment factor (adj), adjusted prices (``_h``), NULL without a factor, and is_trading.
+
+    ``fields`` names what is needed of these; no other column of the bars is read, and no factor where none is.
 
     A cell's factor is the one in force on its date as known at its close, so that later records change nothing earlier:
     what features may use. With ``hindsight`` it is the one known in the end, whose prices are comparable over the dates of
     a holding period: what outcomes need. Both thresholds rise along a code's dates, so that the right record is the
     greatest (date, time known, id) so far; no join and no second shuffle.
     """
-    dense = densify(bars(spark, sf_dir), calendar(spark, sf_dir))
+    adjusted = [c for c in PRICES if fields is None or f"{c}_h" in fields]
+    raw = BAR_FIELDS if fields is None else {*fields, *adjusted, *(("close", "vol") if "is_trading" in fields else ())}
+    dense = densify(bars(spark, sf_dir, tuple(c for c in BAR_FIELDS if c in raw)), calendar(spark, sf_dir))
+    if fields is None or "is_trading" in fields:
+        dense = dense.withColumn("is_trading", F.col("close").isNotNull() & (F.coalesce("vol", F.lit(0.0)) > 0))
+    if fields is not None and not adjusted and "adj" not in fields:
+        return dense
     records = adjustment(spark, sf_dir, hindsight)
     w = W.partitionBy("code").orderBy("at", "is_bar").rowsBetween(W.unboundedPreceding, 0)
     both = dense.withColumns({"at": F.col("trade_date"), "record": F.lit(None).cast(records.schema["record"].dataType), "is_bar": F.lit(1)}).unionByName(records.withColumn("is_bar", F.lit(0)), allowMissingColumns=True)
     filled = both.withColumn("adj", F.max("record").over(w)["adj"]).where("is_bar = 1").drop("is_bar", "at", "record")
-    return filled.withColumns({f"{c}_h": F.col(c) * F.col("adj") for c in ("open", "high", "low", "close")}).withColumn("is_trading", F.col("close").isNotNull() & (F.coalesce("vol", F.lit(0.0)) > 0))
+    return filled.withColumns({f"{c}_h": F.col(c) * F.col("adj") for c in adjusted})
 
 
 EVENT_FIELDS = ("score", "feat_a", "feat_b", "feat_c", "feat_d", "feat_e", "feat_f")
 
 
-def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def event_table(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
     """(t, trade_date, code, event_id, strategy_name, fields, y, ret): the last row of each code and session (latest
-    load, then largest id); y is 0, 1 or NULL, ret the outcome's return."""
+    load, then largest id); y is 0, 1 or NULL, ret the outcome's return. Of the columns after code only ``fields`` are read,
+    if any are named."""
     raw = table(spark, sf_dir, "event_rows").withColumns({"trade_date": plain_date("trade_date"), "code": norm_code("stock_code")}).where("code is not null")
-    values = F.struct("event_id", "strategy_name", *[finite(c).alias(c) for c in EVENT_FIELDS], F.when(F.col("label_hit").isin(0.0, 1.0), F.col("label_hit") + 0.0).alias("y"), finite("label_d2_return").alias("ret"))
+    hit = F.when(F.col("label_hit").isin(0.0, 1.0), F.col("label_hit") + 0.0)
+    each = {"event_id": F.col("event_id"), "strategy_name": F.col("strategy_name"), **{c: finite(c) for c in EVENT_FIELDS}, "y": hit, "ret": finite("label_d2_return")}
+    values = F.struct(*[x.alias(c) for c, x in each.items() if not fields or c in fields])
     cal = F.broadcast(calendar(spark, sf_dir))
     return (
         raw.join(cal, "trade_date").groupBy("t", "trade_date", "code")
