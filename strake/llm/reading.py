@@ -59,9 +59,9 @@ def clean(text: str) -> str:
     return _PRODUCT.sub(" ", text)
 
 
-def language(words: list[str]) -> str:
-    n = Counter(words)
-    score = {lang: sum(n[w] for w in stop) for lang, stop in _STOP.items()}
+def language(n: Counter) -> str:
+    """The language of most function words among counted words."""
+    score = {lang: sum(n[w] for w in stop & n.keys()) for lang, stop in _STOP.items()}
     best = max(score, key=lambda x: (score[x], x == "en"))
     return best if score[best] else "en"
 
@@ -86,10 +86,10 @@ def read(text: str) -> Read | None:
     text = clean(text)
     sentences = [w for w in (_WORD.findall(s.lower()) for s in _SENTENCE.split(text)) if w]
     words = [w for s in sentences for w in s]
-    letters = sum(map(len, words))
-    if len(words) < 20 or len(set(words)) < 8 or letters < 0.5 * len(re.sub(r"\s", "", text)) or max(Counter(words).values()) > 0.5 * len(words) or letters / len(words) > 20:
+    letters, count = sum(map(len, words)), Counter(words)
+    if len(words) < 20 or len(count) < 8 or letters < 0.5 * sum(map(len, text.split())) or max(count.values()) > 0.5 * len(words) or letters / len(words) > 20:
         return None
-    lang = language(words)
+    lang = language(count)
     n, m = len(words), len(sentences)
     seen = _SYLLABLES.setdefault(lang, {})
     if len(seen) > 200_000:
@@ -124,7 +124,7 @@ class Levels:
     def vocabulary(self, r: Read) -> float:
         known = self.words.get(r.lang, {})
         got = [known[w] for w in r.words if w in known]
-        return float(np.median(got)) if got else self.mean
+        return _median(got) if got else self.mean
 
     def level(self, text: str) -> float | None:
         r = read(text)
@@ -132,7 +132,12 @@ class Levels:
             return None
         v = self.vocabulary(r)
         est = [a + b * r.grades[f] + c * v for f, (a, b, c) in self.weights.items()]
-        return float(min(max(np.median(est), GRADES[0]), GRADES[1]))
+        return float(min(max(_median(est), GRADES[0]), GRADES[1]))
+
+
+def _median(values: list[float]) -> float:
+    x = sorted(values)
+    return (x[len(x) // 2] + x[(len(x) - 1) // 2]) / 2
 
 
 def _fold(doc_id: int) -> int:

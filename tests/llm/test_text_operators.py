@@ -193,7 +193,7 @@ HARD = "Notwithstanding considerable methodological inconsistency, prolonged obs
 def test_syllables_and_language():
     assert [syllables(w, "en") for w in ("made", "table", "observation", "the")] == [1, 2, 4, 1]
     assert syllables("freundlichkeit", "de") == 3 and syllables("maison", "fr") == 2
-    assert language("das ist nicht mein tisch und er ist rot".split()) == "de"
+    assert language(Counter("das ist nicht mein tisch und er ist rot".split())) == "de"
 
 
 def test_no_prose():
