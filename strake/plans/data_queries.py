@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..common import day_number, day_text, finite, micros, norm_code, plain_date, table
+from ..common import checkpoint, day_number, day_text, finite, micros, norm_code, plain_date, table
 from ..operators.bitemporal import known_at
 from ..operators.grid import regular_grid
 from ..operators.orphans import find_orphans
@@ -160,6 +160,7 @@ def p3_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     order, x = F.struct("loaded_at", "bar_id"), finite("turnover_rate_f")
     bars = table(spark, sf_dir, "daily").where("ts_code is not null").join(F.broadcast(cal), "trade_date", "left_semi")  # the calendar has a fixed size
     both = bars.groupBy(norm_code("ts_code").alias("ts_code"), day_number("trade_date").alias("day")).agg(F.min_by(F.struct(x.alias("x")), order)["x"].alias("first"), F.max_by(F.struct(x.alias("x")), order)["x"].alias("last"))
+    both = checkpoint(both)  # read for the trees, the corrections and the spans
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     late = both.where("not (first <=> last)").select("ts_code", "day", (zero("last") - zero("first")).alias("d_sum"), (F.col("last").isNotNull().cast("int") - F.col("first").isNotNull().cast("int")).alias("d_count"))
     trees = apply_corrections(build_trees(both, entity="ts_code", day="day", value="first"), late, entity="ts_code", day="day", d_sum="d_sum", d_count="d_count")
