@@ -527,7 +527,7 @@ _SMALL = {"population": 24, "generations": 2}
 def factor_search_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An evolutionary search at test size, net of costs, bred on the earlier dates and selected on the later; a row a survivor."""
     fit, selection = lb.fit_selection(*lb.outcome_complete(0, calendar(spark, sf_dir).count(), 2))
-    found = search(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", k=_K, kind="event", seed=3, cost=0.001, fit=fit, selection=selection, **_SMALL)
+    found = search(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", k=_K, kind="event", seed=3, cost=0.0001, fit=fit, selection=selection, **_SMALL)
     return spark.createDataFrame([(s.expression, float(s.fitness), float(s.selection), s.size) for s in found], "expression string, fitness double, selection double, size int")
 
 
@@ -535,7 +535,7 @@ def factor_search_small(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mined_factors_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of the search at test size, the second on what the first leaves unexplained; a row a survivor."""
     fit, selection = lb.fit_selection(*lb.outcome_complete(0, calendar(spark, sf_dir).count(), 2))
-    found = mine(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", rounds=2, k=_K, kind="event", seed=5, keep=2, cost=0.001, fit=fit, selection=selection, **_SMALL)
+    found = mine(event_table(spark, sf_dir), list(EVENT_FIELDS), "ret", rounds=2, k=_K, kind="event", seed=5, keep=2, cost=0.0001, fit=fit, selection=selection, **_SMALL)
     return spark.createDataFrame([(n, s.expression, float(s.fitness), float(s.selection)) for n, s in found], "round int, expression string, fitness double, selection double")
 
 
