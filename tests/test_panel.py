@@ -58,6 +58,39 @@ def test_expressions():
         check(parse("ts_mean(close, 3)"), ["close"], "event")
 
 
+def test_fields_that_depend_on_the_columns(spark):
+    from strake.functions.base_fields import base_fields
+
+    rnd = random.Random(2)
+    rows = [(t, c, *[rnd.uniform(1, 9) for _ in range(9)]) for t in range(3) for c in "ab"]
+    cols = ["open_h", "high_h", "low_h", "close_h", "amount", "volume_ratio", "circ_mv", "pb", "pe_ttm"]
+    df = spark.createDataFrame(rows, "t int, code string, " + ", ".join(f"{c} double" for c in cols)).withColumn("pb", F.when(F.col("code") == "a", 0.0).otherwise(F.col("pb")))
+    f = base_fields(df.columns)
+    assert {"volume_ratio_f", "log_circ_mv", "bp", "ep"} <= f.keys() and not {"turnover_f", "to_up_limit"} & f.keys()
+    for r in df.select("*", *[f[n].alias(n) for n in ("volume_ratio_f", "log_circ_mv", "bp", "ep")]).collect():
+        assert r.volume_ratio_f == r.volume_ratio and r.log_circ_mv == pytest.approx(np.log(r.circ_mv)) and r.ep == pytest.approx(1 / r.pe_ttm)
+        assert r.bp == (None if r.code == "a" else pytest.approx(1 / r.pb))
+
+
+def test_only_needed_columns_and_dates_are_read(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    text = plan(entry.queries()["topk_portfolio"](spark, "/root/testdata/sf0.001"))
+    assert "label_d2_return" in text and "feat_a" not in text and "strategy_name" not in text
+    text = plan(entry.queries()["op_mean"](spark, "/root/testdata/sf0.001"))
+    assert "turnover_rate_f" in text and "raw_close" not in text and "adj_factor" not in text
+    s = st.Store(spark, str(tmp_path))
+    s.append_dated(SPEC, spark.createDataFrame([("20230103", "a", "1"), ("20230104", "b", "2")], "trade_date string, code string, px string"))
+    assert "PartitionFilters: [isnotnull(trade_date" in plan(s.read_dated(SPEC, "20230104", "20230104"))
+
+
+def test_search_window():
+    assert labels.search_window(10, 4) == (0, 4) and labels.search_window(3, 4) == (0, 3)
+    with pytest.raises(ValueError):
+        labels.search_window(3, 0)
+
+
 def test_library_round_trip(panel, tmp_path):
     lib = FactorLibrary([FactorSpec("f1", "ts_mean(x, 3)", -1), FactorSpec("f2", "cs_rank(y)")], ["x", "y"])
     lib.save(str(tmp_path / "lib.json"))
